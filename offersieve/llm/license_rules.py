@@ -8,7 +8,7 @@ from __future__ import annotations
 
 #: Between the words of a phrase: anything but a letter, digit or non-ASCII character.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BEFORE, AFTER = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])", r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+BEFORE, AFTER = r"(?<![0-9a-z\x{80}-\x{10FFFF}])", r"(?![0-9a-z\x{80}-\x{10FFFF}])"
 
 # Fixed values: (label, identifier as in a tag, keyword, name as a pattern; a space stands for any gap).
 LICENSES = [
@@ -99,7 +99,7 @@ NOTICES = [
     ("permissive", "permission", r"permission is hereby granted,? free of charge"),
     ("permissive", "redistribution", r"redistribution and use in source and binary forms"),
     ("no-warranty", "warrant", r"without (?:any )?warrant(?:y|ies)"),
-    ("no-warranty", "as is", r"provided (?:\W)?as is"),
+    ("no-warranty", "provided", r"provided (?:\W)?as is"),
     ("license-notice", "licensed", r"licensed under the"),
     ("license-notice", "license", r"see (?:the )?(?:file )?licen[sc]e"),
     ("non-commercial", "commercial", r"(?:non ?commercial|not for commercial) use"),
@@ -127,4 +127,4 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 
 #: No rule can match a text that holds none of these.
-GATE = ["licen", "spdx", "rights reserved", "copyright", "permission", "public domain", "warrant", "redistribut", "commercial", "proprietary", "terms", "as is", "mit no", "cc0", "creative commons", "openrail"]
+GATE = ["licen", "spdx", "rights reserved", "copyright", "permission", "public domain", "warrant", "redistribut", "commercial", "proprietary", "terms", "provided", "mit no", "cc0", "creative commons", "openrail"]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from offersieve.llm.license_rules import AFTER, BEFORE, GAP, GATE, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of the text before A-Z become lower case: the same runs.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of the text before A-Z become lower case: the same runs. Java is some 30 times slower with the negated class.
+RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 
@@ -80,8 +80,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "c_base": F.coalesce(F.when(in_base, F.regexp_count(low, F.lit(any_base))), F.lit(0)).cast("long"),
     })
     some = F.col("c_base") > 0
-    signatures = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("kw"), F.lit(r).alias("rx"), F.lit(p).alias("priority")) for a, k, r, p in rules()])
-    tried = F.filter(signatures, lambda r: low.contains(r["kw"]) & F.regexp(low, r["rx"]))
+    by_keyword: dict[str, list[Column]] = {}
+    for label, keyword, pattern, priority in rules():
+        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("rx"), F.lit(priority).alias("priority")))
+    signatures = F.array(*[F.struct(F.lit(k).alias("kw"), F.array(*r).alias("rules")) for k, r in by_keyword.items()])
+    near = F.flatten(F.transform(F.filter(signatures, lambda k: low.contains(k["kw"])), lambda k: k["rules"]))
+    tried = F.filter(near, lambda r: F.regexp(low, r["rx"]))
     step = step.withColumns({
         "c_first": F.when(some, _word_count(F.regexp_extract(low, rf"(?s)^(.*?){any_base}", 1))),
         "c_last": F.when(some, _word_count(F.regexp_extract(low, rf"(?s)^(.*){any_base}", 1))),
