@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offersieve.llm import license_scan, line_dedup, mixing, near_dedup, packing, quality_hosts
+from offersieve.llm import license_scan, line_dedup, mixing, near_dedup, packing, quality_hosts, suffix_dedup
 from offersieve.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_passes")).alias("taken"), F.col("m_shards").alias("shards"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_near_dedup, op5_line_dedup, op6_license_scan, op8_quality_hosts, op9_mixing)
+    f.__name__: f for f in (op2_packing, op3_near_dedup, op5_line_dedup, op6_license_scan, op8_quality_hosts, op9_mixing, op10_suffix_dedup)
 }
