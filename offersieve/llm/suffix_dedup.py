@@ -276,8 +276,8 @@ def merged(spans: list[dict] | None) -> list[list[int]]:
 
 def with_spans(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with s_spans: what goes, in bytes, sorted; adjoining or overlapping ones may still be apart."""
-    gone = repeats(docs, text, **how).withColumnRenamed("row", "s_row").withColumnRenamed("spans", "s_spans")
-    return docs.withColumn("s_row", row_hash("doc_id", text)).join(gone, "s_row", "left").drop("s_row")
+    gone = repeats(docs, text, **how).withColumnRenamed("row", "__s_row").withColumnRenamed("spans", "s_spans")
+    return docs.withColumn("__s_row", row_hash("doc_id", text)).join(gone, "__s_row", "left").drop("__s_row")
 
 
 def digest(docs: DataFrame, text: str = "text", **how) -> DataFrame:
