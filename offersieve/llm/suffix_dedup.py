@@ -266,7 +266,7 @@ def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, keep_first:
 
 def merged(spans: list[dict] | None) -> list[list[int]]:
     out: list[list[int]] = []
-    for s in spans or []:
+    for s in spans if spans is not None else ():
         if out and s["start"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s["end"])
         else:
