@@ -76,13 +76,12 @@ def stop_below(threshold: float, miss: float, batch: int = BANDS) -> tuple[tuple
 
 
 def survive(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Which rows of two signature matrices (or one and a row) pass every batch."""
-    alive = np.arange(max(len(a), len(b)))
-    pick = lambda x: x if len(x) == 1 else x[alive]
+    """Which rows of two signature matrices pass every batch."""
+    alive = np.arange(len(a))
     agreed = np.zeros(len(alive), np.int64)
     before = 0
     for n, least in stop_below(threshold, miss):
-        agreed = agreed + (pick(a)[:, before:n] == pick(b)[:, before:n]).sum(1)
+        agreed = agreed + (a[alive, before:n] == b[alive, before:n]).sum(1)
         go = agreed >= least
         alive, agreed, before = alive[go], agreed[go], n
     return alive
@@ -136,8 +135,8 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return both.mapInArrow(prune, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, per_hundred: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= per_hundred * union; a few texts of the classes are read again."""
+def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """cid, hashes: the full sets of some classes, from one text of each, read again."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -145,25 +144,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
             sets = [flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cid", "hashes"])
 
+    rows = classes.select("cid", "row").join(cids.distinct(), "cid")
+    texts = docs.select(row_hash("doc_id", text).alias("row"), F.col(text).alias("text")).join(rows, "row").select("cid", "text")
+    return materialize(texts.mapInArrow(to_sets, "cid long, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes")))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, per_hundred: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= per_hundred * union."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = linked(x, y)
-                ok.append(100 * common >= per_hundred * (len(x) + len(y) - common))
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), per_hundred) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    need = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    rows = classes.select("cid", "row").join(need, "cid")
-    texts = docs.select(row_hash("doc_id", text).alias("row"), F.col(text).alias("text")).join(rows, "row").select("cid", "text")
-    sets = materialize(texts.mapInArrow(to_sets, "cid long, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes")))
+    sets = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), classes, docs, text)
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
     out = materialize(both.mapInArrow(verify, "a long, b long"))
     release(sets)
     return out
 
 
+def similar(x: np.ndarray, y: np.ndarray, per_hundred: int) -> bool:
+    common = linked(x, y)
+    return 100 * common >= per_hundred * (len(x) + len(y) - common)
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(x) > len(y):
@@ -173,39 +178,65 @@ def linked(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def _between_components(large: DataFrame, label: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs of large buckets in different components that pass the sequential test. Each is found in its first shared
-    band only. Blocks of classes outside a bucket's largest component meet blocks of all its classes."""
-    member = materialize(large.select("key", "cid").join(label.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+class Union:
+    """Labels that links have joined, within one task."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def _between_components(large: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame, text: str, per_hundred: int, miss: float) -> DataFrame:
+    """Links between classes of one large bucket that are in different components. Blocks of classes outside a bucket's
+    largest component meet blocks of all its classes, with their signatures and full sets, so pairs are compared and
+    verified where they meet, in their first shared band only. A task gives no link between labels that its links have
+    joined already: fewer links than labels, however many pairs it compares."""
+    member = large.select("key", "cid").join(label.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    member = materialize(member)
     kinds = member.groupBy("key", "label").agg(F.count("*").alias("n"))
     most = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("labels")).filter("labels > 1")
-    member = member.join(most, "key").join(classes.select("cid", "sig", "bands"), "cid")
+    member = materialize(member.join(most, "key"))
+    sets = _sets(member.select("cid"), classes, docs, text)
+    member = member.join(classes.select("cid", "sig", "bands"), "cid").join(sets, "cid")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     everyone = member.withColumn("right", block).withColumn("left", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
     outside = member.filter("label <> main").withColumn("left", block).withColumn("right", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
-    cols = ["key", "left", "right", "side", "cid", "label", "sig", "bands"]
+    cols = ["key", "left", "right", "side", "cid", "label", "sig", "bands", "hashes"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         here, there = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if len(here) and len(there):
             sig = np.frombuffer(b"".join(there.sig), np.uint32).reshape(-1, HASHES)
-            bands = np.stack(list(there.bands))
-            cid, label = there.cid.to_numpy(), there.label.to_numpy()
+            bands, cid, label = np.stack(list(there.bands)), there.cid.to_numpy(), there.label.to_numpy()
+            full = [np.frombuffer(x, np.uint64) for x in there.hashes]
             number = int(np.flatnonzero(bands[0] == pdf.key.iloc[0])[0])
-            outside = set(here.cid)
-            inside = np.array([c in outside for c in cid])
-            for c, lab, s, b in zip(here.cid, here.label, here.sig, here.bands, strict=True):
-                # a pair of two classes outside is compared once, and only in the first band that it shares
-                todo = np.flatnonzero((label != lab) & ((cid > c) | ~inside))
+            union = Union()
+            for c, lab, s, b, x in zip(here.cid, here.label, here.sig, here.bands, here.hashes, strict=True):
+                todo = np.flatnonzero(label != lab)
                 todo = todo[~(bands[todo, :number] == b[:number]).any(1)]
-                if len(todo):
-                    todo = todo[survive(np.frombuffer(s, np.uint32)[None, :], sig[todo], threshold, miss)] if len(todo) > 1 else todo
-                    out += [(c, x) for x in cid[todo]]
+                if not len(todo):
+                    continue
+                s, x = np.frombuffer(s, np.uint32)[None, :], np.frombuffer(x, np.uint64)
+                todo = todo[survive(np.repeat(s, len(todo), 0), sig[todo], per_hundred / 100, miss)]
+                # the likeliest first
+                for j in todo[np.argsort(-(sig[todo] == s).sum(1), kind="stable")].tolist():
+                    if union.find(label[j]) != union.find(lab) and similar(x, full[j], per_hundred):
+                        union.join(label[j], lab)
+                        out.append((c, cid[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return outside.select(cols).union(everyone.select(cols)).groupBy("key", "left", "right").applyInPandas(compare, "a long, b long").distinct()
+    links = materialize(outside.select(cols).union(everyone.select(cols)).groupBy("key", "left", "right").applyInPandas(compare, "a long, b long"))
+    release(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", per_hundred: int = 85, miss: float = 1e-6) -> DataFrame:
@@ -226,12 +257,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", per_hundred: int = 85,
     release(survivors)
     label = components(links)
     if not large.isEmpty():
-        more = materialize(_between_components(large, label, classes, threshold, miss))
+        more = _between_components(large, label, classes, docs, text, per_hundred, miss)
         if not more.isEmpty():
             release(label)
-            links = links.union(_verified(more, classes, docs, text, per_hundred))
-            label = components(links)
-        release(more)
+            label = components(links.union(more))
     release(buckets)
     known = classes.select("cid", "lead").join(label.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = known.groupBy("label").agg(F.min("lead").alias("head"))
