@@ -13,7 +13,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Each round every node takes the smallest neighbour's id, ids are followed once more, and links are redrawn between
     the labels; those within a label go. A node that is no local minimum disappears, so rounds are logarithmic. Minima
-    are summed before the shuffle, and every round is a table in the shared folder: a lost executor costs one round.
+    are summed before the shuffle. Every round is a table in the shared folder: a lost executor costs one round.
     """
     pairs = links.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter("a <> b").distinct()
     pairs = materialize(pairs)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import materialize, release, row_hash
+from offersieve.llm.common import hold, materialize, release, row_hash
 from offersieve.llm.components import components
 from offersieve.llm.shingles import mix64, pieces, shingle_sets
 
@@ -146,7 +146,7 @@ def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> Da
 
     rows = classes.select("cid", "row").join(cids.distinct(), "cid")
     texts = docs.select(row_hash("doc_id", text).alias("row"), F.col(text).alias("text")).join(rows, "row").select("cid", "text")
-    return materialize(texts.mapInArrow(to_sets, "cid long, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes")))
+    return materialize(texts.mapInArrow(to_sets, "cid long, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes")), merge=4)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, per_hundred: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
 
     sets = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), classes, docs, text)
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    out = materialize(both.mapInArrow(verify, "a long, b long"))
+    out = materialize(both.mapInArrow(verify, "a long, b long"), merge=4)
     release(sets)
     return out
 
@@ -234,7 +234,7 @@ def _between_components(large: DataFrame, label: DataFrame, classes: DataFrame,
                         out.append((c, cid[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    links = materialize(outside.select(cols).union(everyone.select(cols)).groupBy("key", "left", "right").applyInPandas(compare, "a long, b long"))
+    links = materialize(outside.select(cols).union(everyone.select(cols)).groupBy("key", "left", "right").applyInPandas(compare, "a long, b long"), merge=2)
     release(sets)
     return links
 
@@ -242,10 +242,10 @@ def _between_components(large: DataFrame, label: DataFrame, classes: DataFrame,
 def near_duplicates(docs: DataFrame, text: str = "text", per_hundred: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row, lead_row (the row hash of the component's one survivor)."""
     threshold = per_hundred / 100
-    signed = materialize(_signed_rows(docs, text))
+    signed = hold(_signed_rows(docs, text))
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     one = F.first(F.struct("bands", "sig"))
-    classes = materialize(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min(lead).alias("lead"), one.alias("one")).select("cid", "lead", F.col("lead.row").alias("row"), "one.bands", "one.sig"))
+    classes = hold(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min(lead).alias("lead"), one.alias("one")).select("cid", "lead", F.col("lead.row").alias("row"), "one.bands", "one.sig"))
     bands = classes.select("cid", F.explode("bands").alias("key"))
     full = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid", "key").alias("h"), "cid")).alias("p")).filter("n > 1")
     buckets = materialize(bands.join(full.select("key", "n", F.col("p.cid").alias("pivot")), "key"))
