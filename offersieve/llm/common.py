@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,20 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         _delete(spark, path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to a table in the shared folder and read it again: lineage is cut, and any executor can read every part of it."""
+def hold(df: DataFrame) -> DataFrame:
+    """df, computed once: blocks stay on the executors' disks, none in their heaps, and those of a lost executor are made
+    again from the input. For tables made straight from an input; deeper ones are materialized."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def materialize(df: DataFrame, merge: int = 8) -> DataFrame:
+    """Write df to a table in the shared folder and read it again: lineage is cut, and any executor can read every part.
+    A file holds `merge` shuffle partitions, as these tables are much smaller than the input."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/offersieve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // merge)).write.parquet(path)
     atexit.register(_delete_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -49,8 +59,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    _delete(df.sparkSession, df._scratch)
+    """Give back what a materialized table holds, once nothing reads it any more."""
+    if hasattr(df, "_scratch"):
+        _delete(df.sparkSession, df._scratch)
+    else:
+        df.unpersist()
 
 
 def row_hash(*columns: Column | str) -> Column:

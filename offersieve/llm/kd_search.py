@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offersieve.llm.common import materialize
+from offersieve.llm.common import hold
 
 LEAF, TREE = 256, 4096
 SHARD_ROWS, BLOCK_ROWS, LEAST_SHARDS = 16384, 2048, 32
@@ -109,7 +109,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
         finite = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
         return df.filter(finite).select(F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
 
-    points, asked = materialize(whole(vectors)), materialize(whole(queries))
+    points, asked = hold(whole(vectors)), hold(whole(queries))
     n, width, far = points.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     m, width_q, far_q = asked.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     dims = max(width or 0, width_q or 0, 1)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offersieve.llm.common import materialize, row_hash
+from offersieve.llm.common import hold, materialize, row_hash
 from offersieve.llm.packing import word_count
 
 BLOCKS = 1024
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple
     """
     block = F.pmod(F.xxhash64(F.lit(seed), "m_row"), F.lit(BLOCKS)).cast("int")
     sized = docs.select(*keep, F.col(source).alias("m_source"), row_hash("doc_id", text).alias("m_row"), word_count(F.col(text)).alias("m_size")).withColumn("m_block", block)
-    sized = materialize(sized)
+    sized = hold(sized)
     blocks = materialize(sized.groupBy("m_source", "m_block").agg(F.sum("m_size").alias("b_size")))
     totals = blocks.groupBy("m_source").agg(F.sum("b_size").alias("s_size"), F.count("*").alias("s_blocks")).limit(100_001).collect()
     if len(totals) > 100_000:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offersieve.llm.common import WORD, materialize, row_hash
+from offersieve.llm.common import WORD, hold, row_hash
 
 #: At most so many different lengths reach the driver; beyond, lengths are rounded up to a common grain first.
 MAX_LENGTHS = 1 << 16
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     groups of some dozens of batches, numbered within the group; so a bucket with a third of all rows is no hot task.
     """
     length = word_count(F.col(text)) if length is None else length
-    sized = materialize(docs.select("doc_id", row_hash("doc_id", text).alias("row"), length.alias("n_tokens")))
+    sized = hold(docs.select("doc_id", row_hash("doc_id", text).alias("row"), length.alias("n_tokens")))
     hist = sized.groupBy("n_tokens").count()
     longest, kinds = hist.agg(F.max("n_tokens"), F.count("*")).first()
     grain = 1 if kinds <= MAX_LENGTHS else -(-longest // MAX_LENGTHS)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import SPACE, WORD, materialize
+from offersieve.llm.common import SPACE, WORD, hold
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source",
     decides by its measured size, and splits a hot host's partition otherwise.
     """
     measures = ["q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words"]
-    made = materialize(with_metrics(docs, text).select(*keep, F.col(host).alias("q_source"), *measures))
+    made = hold(with_metrics(docs, text).select(*keep, F.col(host).alias("q_source"), *measures))
     verdicts = host_verdicts(made, rules, "q_source")
     fails = failures(rules)
     base = fails["short"] | fails["repeat"]

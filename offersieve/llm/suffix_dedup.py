@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import materialize, release, row_hash
+from offersieve.llm.common import hold, materialize, release, row_hash
 from offersieve.llm.shingles import Window64, pieces, text_bytes
 
 WIDTH = 400
 PIECE = 2 << 20
 PIECE_BITS = 22
 #: Bytes of contexts in one suffix array; an anchor with more is settled by window digests instead.
-CHUNK, HOT = 1 << 20, 16 << 20
+CHUNK, HOT = 1 << 19, 4 << 20
 
 INSTANCE = "doc_id long, row long, lo int, size int, g long, c long"
 
@@ -239,7 +239,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, keep_first: bool = False, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """row, spans: for each document (by row hash) that has any, the sorted, merged stretches of bytes that go."""
-    found = materialize(_instances(docs, text, width))
+    found = hold(_instances(docs, text, width))
     several = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "lo")
     shared = materialize(found.join(several, "g").select("row", "lo", "size", "g", "c", order.alias("at")))
@@ -248,7 +248,7 @@ def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, keep_first:
     kinds = groups.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).filter("kinds > 1")
     wanted = groups.join(kinds, "g").select("g", "c", "first", "size", F.col("first.row").alias("row"), F.col("first.lo").alias("lo"), (F.col("bytes") > hot).alias("hot"))
     wanted = materialize(wanted)
-    solved = materialize(_by_suffix_array(_contexts(docs, wanted.filter("NOT hot").drop("hot"), text), width, chunk))
+    solved = materialize(_by_suffix_array(_contexts(docs, wanted.filter("NOT hot").drop("hot"), text), width, chunk), merge=2)
     if not wanted.filter("hot").isEmpty():
         solved = solved.union(_by_digests(_contexts(docs, wanted.filter("hot").drop("hot"), text), width))
     whole = F.array(F.lit(0), F.col("size"))
