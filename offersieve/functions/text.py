@@ -156,7 +156,9 @@ def canonical_tokens(base: Column, groups: list[tuple[str, list[list[str]]]]) ->
             gone = F.concat(gone, F.when(has(v), F.array(*map(F.lit, v))).otherwise(none))
             hit = hit | has(v)
         marks = F.concat(marks, F.when(hit, F.array(F.lit(marker))).otherwise(none))
-    return F.concat(F.filter(base, lambda t: ~F.array_contains(gone, t)), marks)
+    # `gone` is bound to a lambda variable, so that it is made once a row and not once a token
+    rest = F.transform(F.array(gone), lambda g: F.filter(base, lambda t: ~F.array_contains(g, t)))
+    return F.concat(F.get(rest, F.lit(0)), marks)
 
 
 def canonical_py(base: list[str], groups: list[tuple[str, list[list[str]]]]) -> list[str]:

@@ -190,12 +190,16 @@ def bm25_score(tokens: Column, weights: dict[str, float], n: Column, avgdl: Colu
     length = F.size(tokens)
     out = F.lit(0.0)
     for t, w in weights.items():
-        tf = (F.size(F.filter(tokens, lambda x, t=t: x == t))).cast("double")
+        tf = F.size(F.filter(tokens, _is(t))).cast("double")
         d = F.greatest(F.lit(0), F.least(df[t], n))
         out = out + F.lit(float(w)) * F.log(1 + (n - d + 0.5) / (d + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.greatest(avgdl, F.lit(1.0))))
     return F.when((n > 0) & (length > 0), out).otherwise(F.lit(0.0))
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def rolling_stats(docs: DataFrame, limit: int, seq: str = "seq", tokens: str = "sig", block: int = 4096) -> DataFrame:
     """seq, n, avgdl of the last `limit` documents up to and with each one. seq is dense from 0. Prefix sums by block keep
     the global order out of a single task: each block is a window of its own, block sums are a small table."""

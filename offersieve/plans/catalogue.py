@@ -1,4 +1,6 @@
 """All queries of the offer engine, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from offersieve.plans import offers
+
+QUERIES = {**offers.QUERIES}
+ORACLE = {**offers.ORACLE}
