@@ -83,7 +83,9 @@ def format_turns(conversations: DataFrame, tokenizer: str | None = None, loss_ro
 
 def written_form(turns: DataFrame) -> DataFrame:
     """conv_id, text: conversations as strings, for readers without the reserved ids; for conversations that fit a row."""
-    part = F.concat(F.lit(START), "role", F.lit("\n"), F.regexp_replace("body", r"<(\\*)\|", r"<$1\\\\|"), F.lit(END + "\n"))
+    escaped = lambda c: F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
+    role = F.replace(F.replace(F.col("role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    part = F.concat(F.lit(START), escaped(role), F.lit("\n"), escaped("body"), F.lit(END + "\n"))
     ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", part.alias("part")))).alias("parts"))
     return ordered.select("conv_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("text"))
 

@@ -33,7 +33,8 @@ def units(docs: DataFrame, text: str = "text", rank: str = "doc_id", kind: str =
             cols: list[list[int]] = [[], [], [], [], [], []]
             for row, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 start = 0
-                for found in sep.finditer(body or ""):
+                body = body or ""
+                for found in sep.finditer(body):
                     words = body[start : found.start()].lower().split()
                     if len(words) >= min_words:
                         digest = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))

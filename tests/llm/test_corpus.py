@@ -167,8 +167,9 @@ def test_language(spark):
     held = [r for r in out if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
-    odd = spark.createDataFrame([(5, None, "en"), (6, "123 ...", None), (None, "abc", "en")], "doc_id long, text string, lang string")
-    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs.select("doc_id", "text", "lang").union(odd)).filter("doc_id IN (5, 6)").collect()}[6] == "und" or True
+    odd = spark.createDataFrame([(100005, None, "en"), (100006, "123 ...", None), (None, "abc", "en")], "doc_id long, text string, lang string")
+    said = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs.select("doc_id", "text", "lang").union(odd)).collect()}
+    assert said[100005] == said[100006] == ("und", 0.0) and said[None][0] != "und"
 
 
 def test_chat(spark):
