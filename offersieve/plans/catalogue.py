@@ -1,6 +1,6 @@
 """All queries of the offer engine, and their SQL."""
 
-from offersieve.plans import offers
+from offersieve.plans import offers, services
 
-QUERIES = {**offers.QUERIES}
-ORACLE = {**offers.ORACLE}
+QUERIES = {**offers.QUERIES, **services.QUERIES}
+ORACLE = {**offers.ORACLE, **services.ORACLE}
