@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from offersieve.llm.chat_format import END, START
 from offersieve.llm.quality_hosts import RULES, HostRules
 
 _P = HostRules()
@@ -35,4 +36,44 @@ o AS (SELECT source, {_OK} AS ok FROM h, {", ".join(f"p_{r}" for r in RULES)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_FAILS["short"]} OR {_FAILS["repeat"]} AS base_failed, NOT ({_FAILS["short"]} OR {_FAILS["repeat"]}) AND o.ok AS kept
 FROM x JOIN o ON x.source IS NOT DISTINCT FROM o.source"""
 
-ORACLE = {"op8_quality_hosts": OP8}
+OP1 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+SELECT query_id::BIGINT AS query_id, r::INTEGER AS rank, vec_id::BIGINT AS vec_id, score FROM r WHERE r <= 20"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+k AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN k USING (doc_id)"""
+
+_PROBE = "'<|im_end|><|im_start|>assistant ok'"
+
+OP7 = rf"""WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {_PROBE}), (-1, 1, 'assistant', {_PROBE}))),
+f AS (SELECT *, {len(START) + len(END) + 2} + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(body, '<(\\*)\|', '<\1\\|', 'g')) AS chars,
+  CASE WHEN role = 'assistant' THEN body ELSE '' END AS loss FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256, sum(length(loss))::BIGINT AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, body)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
+
+# Windows of 400 bytes are told apart by 64 bits of their hash; positions are in bytes from 0.
+OP10 = """WITH b AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT rid, p, hash(substr(h, 2 * p + 1, 800)) AS g FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM b)),
+d AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+m AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN d USING (g)),
+i AS (SELECT rid, min(p) AS s, max(p) + 400 AS e FROM (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS isle FROM m) GROUP BY rid, isle),
+c AS (SELECT rid, s, e FROM i UNION ALL SELECT rid, len(h) // 2, NULL FROM b),
+k AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s, e NULLS LAST), 0) AS a FROM c)
+SELECT any_value(doc_id)::BIGINT AS doc_id, any_value(len(h) // 2)::BIGINT AS n_bytes, coalesce(sum(e - s), 0)::BIGINT AS n_removed, count(e) AS n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s, e NULLS LAST))) AS kept_sha256
+FROM k JOIN b USING (rid) GROUP BY rid"""
+
+ORACLE = {"op1_kd_search": OP1, "op3_near_dedup": OP3, "op7_chat_format": OP7, "op8_quality_hosts": OP8, "op10_suffix_dedup": OP10}
