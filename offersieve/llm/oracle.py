@@ -76,4 +76,12 @@ k AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s, e NUL
 SELECT any_value(doc_id)::BIGINT AS doc_id, any_value(len(h) // 2)::BIGINT AS n_bytes, coalesce(sum(e - s), 0)::BIGINT AS n_removed, count(e) AS n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s, e NULLS LAST))) AS kept_sha256
 FROM k JOIN b USING (rid) GROUP BY rid"""
 
-ORACLE = {"op1_kd_search": OP1, "op3_near_dedup": OP3, "op7_chat_format": OP7, "op8_quality_hosts": OP8, "op10_suffix_dedup": OP10}
+# For texts without carriage returns, of which the driver tables have none.
+OP5 = r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, i, l[i] AS line, i = len(l) AS last, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)),
+w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}]+') AS w FROM u),
+r AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, s) > 1 AS gone FROM w)
+SELECT doc_id, sum(gone::INTEGER)::BIGINT AS n_removed, coalesce(sum(CASE WHEN gone THEN length(line) END), 0)::BIGINT AS removed_chars, coalesce(string_agg(CASE WHEN gone THEN s || '-' || (s + length(line)) END, ',' ORDER BY s), '') AS removed_spans,
+  sha256(string_agg(CASE WHEN gone THEN '' ELSE line || CASE WHEN last THEN '' ELSE chr(10) END END, '' ORDER BY s)) AS kept_sha256 FROM r GROUP BY doc_id"""
+
+ORACLE = {"op1_kd_search": OP1, "op3_near_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": OP7, "op8_quality_hosts": OP8, "op10_suffix_dedup": OP10}
