@@ -64,3 +64,36 @@ def survivors(log: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     """The newest `cap` rows of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return log.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= cap).drop("no")
+
+
+def clamped(delay: Column, least: int = 5, most: int = 300) -> Column:
+    """A provider's own delay within bounds."""
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), delay.cast("double")))
+
+
+def enqueued(offers: DataFrame, active: DataFrame, done: DataFrame, user: str, key: list[str]) -> DataFrame:
+    """What enters the delivery queue: offers to active users whose key was neither delivered nor queued, once each."""
+    return offers.join(active, user, "left_semi").join(done, key, "left_anti").dropDuplicates(key)
+
+
+def after_delivery(queue: DataFrame, outcomes: DataFrame, key: str = "id", now: Column | None = None) -> DataFrame:
+    """The queue after a drain: sent rows leave for the deliveries, permanent failures stay as failed, and all others are
+    tried again later, so that delivery is at least once. queue: key, attempts, status, next_attempt; outcomes: key,
+    outcome (sent, permanent or other), retry_after."""
+    now = F.current_timestamp() if now is None else now
+    j = queue.join(outcomes, key, "left")
+    again = F.coalesce(clamped(F.col("retry_after")), backoff(F.col("attempts") + 1, power=60).cast("double"))
+    tried = F.col("outcome").isNotNull()
+    status = F.when(~tried, F.col("status")).when(F.col("outcome") == "sent", "delivered").when(F.col("outcome") == "permanent", "failed").otherwise("pending")
+    at = F.when(tried & ~F.col("outcome").isin("sent", "permanent"), F.timestamp_seconds(F.unix_micros(now) / 1e6 + again)).otherwise(F.col("next_attempt"))
+    return j.select(key, (F.col("attempts") + tried.cast("int")).alias("attempts"), status.alias("status"), at.alias("next_attempt"))
+
+
+def doomed(log: DataFrame, at: str, order: str, cutoff: Column, cap: int, batch: int = 500) -> DataFrame:
+    """The rows that one retention pass deletes: the oldest `batch` past the cutoff, then the oldest `batch` of what lies
+    beyond the newest `cap`. Both are top-k plans; no window holds the whole table."""
+    old = log.filter(F.col(at) < cutoff).orderBy(order).limit(batch)
+    left = log.join(old.select(order), order, "left_anti")
+    spare = F.greatest(F.lit(0), left.agg(F.count("*")).scalar() - cap)
+    over = left.orderBy(order).limit(batch).withColumn("no", F.row_number().over(Window.orderBy(order))).filter(F.col("no") <= spare).drop("no")
+    return old.unionByName(over)
