@@ -1,6 +1,6 @@
 """All queries of the offer engine, and their SQL."""
 
-from offersieve.plans import messages, offers, services
+from offersieve.plans import control, messages, offers, services
 
-QUERIES = {**offers.QUERIES, **services.QUERIES, **messages.QUERIES}
-ORACLE = {**offers.ORACLE, **services.ORACLE, **messages.ORACLE}
+QUERIES = {**offers.QUERIES, **services.QUERIES, **messages.QUERIES, **control.QUERIES}
+ORACLE = {**offers.ORACLE, **services.ORACLE, **messages.ORACLE, **control.ORACLE}
