@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,29 +178,37 @@ def corpus_stats(docs: DataFrame, tokens: str = "sig") -> tuple[DataFrame, DataF
     return size, df
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Rows that several branches of a plan read, as blocks on disk (made again from the input if an executor is lost).
+    An exchange is no help here: each branch prunes it to other columns, so that it is not reused."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def bm25(docs: DataFrame, query: list[tuple[str, float]], tokens: str = "sig", key: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score for all documents. The query's terms are few, so their df comes back as one row of counts beside n and
-    avgdl, and scoring is an expression over each row: the documents are never shuffled."""
-    terms = dict(query)
-    hits = [F.sum(F.array_contains(tokens, t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokens)), F.lit(0.0)).alias("avgdl"), *hits)
-    return docs.join(F.broadcast(stats)).select(key, bm25_score(F.col(tokens), terms, F.col("n"), F.col("avgdl"), {t: F.col(f"df{i}") for i, t in enumerate(terms)}, k1, b).alias("score"))
+    """key, score for all documents. One pass over the texts makes a small row of term counts a document; both the corpus
+    statistics and the scores come from those, so no text is read twice or shuffled."""
+    weights = dict(query)
+    small = held(docs.select(key, F.size(tokens).alias("len"), X.term_counts(F.col(tokens), list(weights)).alias("tf")))
+    stats = small.agg(*term_stats(len(weights)))
+    score = bm25_of(F.col("len"), {t: F.col("tf")[i] for i, t in enumerate(weights)}, weights, F.col("n"), F.col("avgdl"), {t: F.col(f"df{i}") for i, t in enumerate(weights)}, k1, b)
+    return small.join(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
+
 
+def term_stats(terms: int, where: Column | None = None) -> list[Column]:
+    """Aggregates n, avgdl and df0, df1, ... over rows of len and tf."""
+    on = F.lit(True) if where is None else where
+    return [F.count_if(on).alias("n"), F.coalesce(F.avg(F.when(on, F.col("len"))), F.lit(0.0)).alias("avgdl"), *[F.count_if(on & (F.col("tf")[i] > 0)).alias(f"df{i}") for i in range(terms)]]
 
-def bm25_score(tokens: Column, weights: dict[str, float], n: Column, avgdl: Column, df: dict[str, Column], k1: float = 1.2, b: float = 0.75) -> Column:
-    length = F.size(tokens)
+
+def bm25_of(length: Column, tf: dict[str, Column], weights: dict[str, float], n: Column, avgdl: Column, df: dict[str, Column], k1: float = 1.2, b: float = 0.75) -> Column:
     out = F.lit(0.0)
     for t, w in weights.items():
-        tf = F.size(F.filter(tokens, _is(t))).cast("double")
+        f = tf[t].cast("double")
         d = F.greatest(F.lit(0), F.least(df[t], n))
-        out = out + F.lit(float(w)) * F.log(1 + (n - d + 0.5) / (d + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.greatest(avgdl, F.lit(1.0))))
+        out = out + F.lit(float(w)) * F.log(1 + (n - d + 0.5) / (d + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length / F.greatest(avgdl, F.lit(1.0))))
     return F.when((n > 0) & (length > 0), out).otherwise(F.lit(0.0))
 
 
-def _is(term: str):
-    return lambda x: x == term
-
-
 def rolling_stats(docs: DataFrame, limit: int, seq: str = "seq", tokens: str = "sig", block: int = 4096) -> DataFrame:
     """seq, n, avgdl of the last `limit` documents up to and with each one. seq is dense from 0. Prefix sums by block keep
     the global order out of a single task: each block is a window of its own, block sums are a small table."""

@@ -24,14 +24,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents. A file of one row group is one task however large the cluster: where there are fewer splits than cores,
+    rows are spread by id before the text work. A table of many splits is read as it is."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores, "doc_id") if d.rdd.getNumPartitions() < cores else d
+
+
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents")
+    d = _texts(spark, sf_dir)
     return d.select("doc_id", F.split("text", "\n")[0].alias("title"), "text", "source", F.lit(None).cast("decimal(18,2)").alias("price"))
 
 
 def _sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = X.normalize(F.col("text"))
-    return _read(spark, sf_dir, "documents").select("doc_id", "source", norm.alias("norm")).withColumn("tokens", X.tokens(F.col("norm"))).withColumn("sig", X.significant(F.col("tokens")))
+    return _texts(spark, sf_dir).select("doc_id", "source", norm.alias("norm")).withColumns({"tokens": X.tokens(F.col("norm")), "sig": X.significant_of(F.col("norm"))})
 
 
 # SQL pieces -----------------------------------------------------------------------------------------------------------
@@ -386,23 +394,25 @@ def sql_decisions() -> str:
 
 @query(sql_decisions())
 def user_fanout_decisions(spark, sf_dir):
-    """Every document against every user: the text columns are made once, users are literal columns, so the fan-out is
-    an explode of an array of verdicts and no join."""
-    c = _canon(spark, sf_dir)
-    first = c.groupBy("norm").agg(F.min("doc_id").alias("first"))
-    c = c.join(first, "norm").withColumns({"excluded": R.exclusion(F.col("sig"), EXCLUSIONS, ALIASES), "rule": R.rule_reason(F.col("tokens"), RULES)})
+    """Every document against every user. One pass over the texts makes a small row a document, keyed by the digest of
+    its normal text; first copies, corpus statistics and verdicts all come from those. Users are literal
+    columns, so the fan-out is an explode of an array of verdicts and no join."""
     users = [_user(u) for u in USERS]
     every = sorted({t for u in users for t in u[3]})
-    hits = [F.sum(F.array_contains("canon", t).cast("long")).alias(f"df{i}") for i, t in enumerate(every)]
-    stats = c.agg(F.count("*").alias("n"), F.avg(F.size("canon")).alias("avgdl"), *hits)
-    c = c.join(F.broadcast(stats))
+    terms = sorted({t for u in users for i in u[2] for t in i.terms})
+    covered = F.array(*[X.covers(F.col("canon"), X.canonical_py(X.significant_py(t), GROUPS)) for t in terms])
+    small = R.held(_canon(spark, sf_dir).select(
+        "doc_id", F.sha2("norm", 256).alias("h"), R.fixed_reason(F.col("norm"), F.lit("")).alias("fixed"), R.exclusion(F.col("sig"), EXCLUSIONS, ALIASES).alias("excluded"),
+        R.rule_reason(F.col("tokens"), RULES).alias("rule"), F.size("canon").alias("len"), X.term_counts(F.col("canon"), every).alias("tf"), covered.alias("covered")))
+    first = small.groupBy("h").agg(F.min("doc_id").alias("first"))
+    c = small.join(first, "h").join(F.broadcast(small.agg(*R.term_stats(len(every)))))  # one row of statistics
     verdicts = []
     for uid, threshold, mine, weights in users:
-        score = R.bm25_score(F.col("canon"), weights, F.col("n"), F.col("avgdl"), {t: F.col(f"df{every.index(t)}") for t in weights})
-        matched = F.filter(F.array(*[F.when(X.covers(F.col("canon"), X.canonical_py(X.significant_py(t), GROUPS)), F.lit(t)) for i in mine for t in i.terms]), lambda t: t.isNotNull())
+        score = R.bm25_of(F.col("len"), {t: F.col("tf")[every.index(t)] for t in weights}, weights, F.col("n"), F.col("avgdl"), {t: F.col(f"df{every.index(t)}") for t in weights})
+        matched = F.array_compact(F.array(*[F.when(F.col("covered")[terms.index(t)], F.lit(t)) for i in mine for t in i.terms]))
         dup = F.when(F.col("doc_id") > F.col("first"), F.lit("duplicate"))
         none = F.lit(None).cast("string")
-        r = R.route(fixed=R.fixed_reason(F.col("norm"), F.lit("")), excluded=F.col("excluded"), rule=F.col("rule"), duplicate=dup, violation=none, exceptional=none, certain=F.lit(True), score=score, threshold=threshold, matched=matched, gates=F.lit(False))
+        r = R.route(fixed=F.col("fixed"), excluded=F.col("excluded"), rule=F.col("rule"), duplicate=dup, violation=none, exceptional=none, certain=F.lit(True), score=score, threshold=threshold, matched=matched, gates=F.lit(False))
         verdicts.append(F.struct(F.lit(uid).cast("long").alias("user_id"), r.alias("r")))
     stage = F.when(F.col("v.r.stage") != "deterministic", F.col("v.r.stage")).when(F.col("v.r.reason").endswith("below_auto_forward_threshold"), F.lit("deterministic:below")).otherwise(F.lit("deterministic:gates"))
     return c.select("doc_id", F.explode(F.array(*verdicts)).alias("v")).select("v.user_id", "doc_id", stage.alias("stage"))
@@ -429,16 +439,15 @@ def sql_replay() -> str:
 
 @query(sql_replay())
 def replay_metrics(spark, sf_dir):
-    """Offline replay: prefilter, corpus of what passes, BM25 of the profile, confusion counts."""
+    """Offline replay: prefilter, corpus of what passes, BM25 of the profile, confusion counts; one pass over the texts."""
     d = _sig(spark, sf_dir).join(_read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant")), "doc_id")
-    first = d.groupBy("norm").agg(F.min("doc_id").alias("first"))
     fine = R.fixed_reason(F.col("norm"), F.lit("")).isNull() & ~F.coalesce(R.rule_reason(F.col("tokens"), RULES).startswith("rule_deny:"), F.lit(False))
-    d = d.join(first, "norm").withColumn("passed", fine & (F.col("doc_id") == F.col("first")))
-    on = F.col("passed")
-    hits = [F.sum((on & F.array_contains("sig", t)).cast("long")).alias(f"df{i}") for i, t in enumerate(REPLAY)]
-    stats = d.agg(F.count_if(on).alias("n"), F.coalesce(F.avg(F.when(on, F.size("sig"))), F.lit(0.0)).alias("avgdl"), *hits)
-    score = R.bm25_score(F.col("sig"), REPLAY, F.col("n"), F.col("avgdl"), {t: F.col(f"df{i}") for i, t in enumerate(REPLAY)})
-    v = d.join(F.broadcast(stats)).select("relevant", (on & (score >= 0.5)).alias("kept"))
+    small = R.held(d.select("doc_id", "relevant", F.sha2("norm", 256).alias("h"), fine.alias("fine"), F.size("sig").alias("len"), X.term_counts(F.col("sig"), list(REPLAY)).alias("tf")))
+    first = small.groupBy("h").agg(F.min("doc_id").alias("first"))
+    judged = small.join(first, "h").withColumn("passed", F.col("fine") & (F.col("doc_id") == F.col("first")))
+    stats = judged.agg(*R.term_stats(len(REPLAY), F.col("passed")))
+    score = R.bm25_of(F.col("len"), {t: F.col("tf")[i] for i, t in enumerate(REPLAY)}, REPLAY, F.col("n"), F.col("avgdl"), {t: F.col(f"df{i}") for i, t in enumerate(REPLAY)})
+    v = judged.join(F.broadcast(stats)).select("relevant", (F.col("passed") & (score >= 0.5)).alias("kept"))
     out = v.agg(F.count("*").alias("n"), F.count_if("relevant").alias("relevant"), F.count_if(F.expr("relevant AND kept")).alias("kept"), F.count_if(F.expr("NOT relevant AND NOT kept")).alias("rejected"))
     rate = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), b), F.lit(1.0)), 4)
     return out.withColumns({"rejection_rate": rate("rejected", F.col("n") - F.col("relevant")), "retention_rate": rate("kept", F.col("relevant"))})

@@ -52,7 +52,7 @@ def test_alias_match(spark):
 
 
 def test_bm25(spark):
-    got = one(spark, R.bm25_score(F.array(*map(F.lit, ["ssd", "ssd", "barato"])), {"ssd": 1.0}, F.lit(10), F.lit(3.0), {"ssd": F.lit(2)}))
+    got = one(spark, R.bm25_of(F.lit(3), {"ssd": F.lit(2)}, {"ssd": 1.0}, F.lit(10), F.lit(3.0), {"ssd": F.lit(2)}))
     assert got == pytest.approx(2.0372062437707963)
 
 
