@@ -105,7 +105,11 @@ def discount_display(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.discount_percent(p - F.col("l_discount").cast("decimal(10,2)"), p).alias("percent"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS sec FROM events)),
+f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS admitted, []::DOUBLE[] AS log FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, i, event_id, len(log) < 2, CASE WHEN len(log) < 2 THEN list_append(log, sec) ELSE log END
+  FROM (SELECT e.user_id, e.i, e.event_id::BIGINT AS event_id, e.sec, list_filter(f.log, lambda t: t > e.sec - 86400) AS log FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id::BIGINT AS key, event_id AS seq, admitted FROM f WHERE i > 0""")
 def rate_limit_admitted(spark, sf_dir):
     e = _read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return S.admitted(e, "user_id", "event_id", "at", ((86400.0, 2),))
