@@ -208,3 +208,18 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(stage(spark, docs, DIR).toPandas())
         assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
     assert docs.count() > 0
+
+
+def test_language_keeps_every_language_and_count(spark):
+    rng = np.random.default_rng(4)
+    word = lambda i: "".join(chr(0x4E00 + 9 * i + int(c)) for c in rng.integers(0, 9, 5))
+    rows = [(70 * k + i, " ".join(word(i) for _ in range(2 if i > 60 else 6)), f"l{i:02}") for k in range(15) for i in range(70)]
+    docs = spark.createDataFrame([*rows, (5000, None, "l00"), (None, rows[0][1], None), rows[3]], "doc_id long, text string, lang string")
+    whole = language_id.identify(docs).collect()
+    lang = {i: x for i, _, x in rows}
+    assert all(r.lang_pred == lang[r.doc_id] for r in whole if r.held_out and r.doc_id in lang)
+    parts = language_id.identify(docs, pairs=9000, cells=300_000, group=40).collect()
+    key = lambda r: (str(r.doc_id), r.held_out, r.lang_pred, r.accepted)
+    assert Counter(map(key, parts)) == Counter(map(key, whole))
+    xe = {r.doc_id: r.cross_entropy for r in whole}
+    assert all(r.cross_entropy is None and xe[r.doc_id] is None or abs(r.cross_entropy - xe[r.doc_id]) < 1e-5 for r in parts)
