@@ -13,6 +13,11 @@ from offersieve.llm import mixing, near_dedup, packing, quality_hosts, suffix_de
 from offersieve.llm.common import materialize, read, row_hash
 
 
+#: A passage of over 50 words goes if it repeats; it has WIDTH bytes at least, as each word has one and a space.
+WORDS = 51
+WIDTH = 2 * WORDS - 1
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
     whole = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source")
@@ -26,9 +31,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of any 400 bytes; a document of which nothing is left goes."""
+    """Texts without later copies of passages of over 50 words; a document of which nothing is left goes."""
     marked = docs.withColumn("__had", F.trim(F.coalesce("text", F.lit(""))) != "")
-    cut = suffix_dedup.cut_texts(marked, keep_first=True)
+    cut = suffix_dedup.cut_texts(marked, min_words=WORDS, width=WIDTH, keep_first=True)
     kept = cut.filter(~F.col("__had") | (F.trim("text") != "")).drop("__had")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 

@@ -301,20 +301,27 @@ def digest(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     return out.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), "s_spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_texts(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """docs with the repeats cut out of the text. Spans shrink to whole characters, so the rest is valid UTF-8."""
+def cut_texts(docs: DataFrame, text: str = "text", min_words: int = 0, **how) -> DataFrame:
+    """docs with the repeats cut out of the text. Spans shrink to whole characters, so the rest is valid UTF-8; those of
+    fewer than min_words whole words stay."""
 
     def cut(texts, spans):
         import pandas as pd
 
-        return pd.Series([_without(a, b) for a, b in zip(texts, spans, strict=True)])
+        return pd.Series([_without(a, b, min_words) for a, b in zip(texts, spans, strict=True)])
 
     udf = F.pandas_udf(cut, "string")
     columns = [F.when(F.col("s_spans").isNull(), F.col(text)).otherwise(udf(text, "s_spans")).alias(text) if c == text else F.col(c) for c in docs.columns]
     return with_spans(docs, text, **how).select(columns)
 
 
-def _without(text: str | None, spans) -> str | None:
+def _whole_words(raw: bytes, s: int, e: int) -> int:
+    """Words of raw that are within s..e whole."""
+    inside = lambda i: 0 < i < len(raw) and not raw[i - 1 : i].isspace() and not raw[i : i + 1].isspace()
+    return len(raw[s:e].split()) - inside(s) - inside(e)
+
+
+def _without(text: str | None, spans, min_words: int = 0) -> str | None:
     if text is None or spans is None:
         return text
     raw, out, at = text.encode(), [], 0
@@ -323,6 +330,8 @@ def _without(text: str | None, spans) -> str | None:
             s += 1
         while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
             e -= 1
+        if min_words and _whole_words(raw, s, e) < min_words:
+            continue
         out.append(raw[at:s])
         at = e
     return b"".join([*out, raw[at:]]).decode()

@@ -223,3 +223,13 @@ def test_language_keeps_every_language_and_count(spark):
     assert Counter(map(key, parts)) == Counter(map(key, whole))
     xe = {r.doc_id: r.cross_entropy for r in whole}
     assert all(r.cross_entropy is None and xe[r.doc_id] is None or abs(r.cross_entropy - xe[r.doc_id]) < 1e-5 for r in parts)
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n, of=7: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, of)) for _ in range(n))
+    long, short, least = words(51, 5), words(50, 9), words(51, 1)
+    rows = [(i, f"{words(80)} {p} {words(80)}", "en", "s", 1, i) for i, p in enumerate([long, short, least] * 2)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_stage(spark, spark.createDataFrame(rows, SCHEMA), DIR).collect()}
+    assert all(p in out[i] for i, p in enumerate([long, short, least]))
+    assert long not in out[3] and short in out[4] and least not in out[5]
