@@ -18,6 +18,10 @@ WORDS = 51
 WIDTH = 2 * WORDS - 1
 
 
+#: Of 100: the Jaccard similarity of word shingles from which documents are near copies; 85 is op3's.
+SIMILAR = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
     whole = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source")
@@ -26,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; repeated rows count as one."""
-    lead = near_dedup.near_duplicates(docs).filter("row = lead_row").select(F.col("row").alias("__row")).distinct()
+    lead = near_dedup.near_duplicates(docs, per_hundred=SIMILAR).filter("row = lead_row").select(F.col("row").alias("__row")).distinct()
     return docs.withColumn("__row", row_hash("doc_id", "text")).join(lead, "__row").dropDuplicates(["__row"]).select(docs.columns)
 
 

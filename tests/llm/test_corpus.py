@@ -233,3 +233,13 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     out = {r.doc_id: r.text for r in corpus_pipeline.suffix_stage(spark, spark.createDataFrame(rows, SCHEMA), DIR).collect()}
     assert all(p in out[i] for i, p in enumerate([long, short, least]))
     assert long not in out[3] and short in out[4] and least not in out[5]
+
+
+def test_pipeline_links_near_copies_from_80_per_cent(spark):
+    words = [f"w{i}" for i in range(200)]
+    copy = [*words[:180], *(f"x{i}" for i in range(20))]
+    mine = [*words[:160], *(f"y{i}" for i in range(40))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, copy, mine)]
+    assert 0.80 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1, i) for i, w in enumerate((words, copy, mine))], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, DIR).collect()) == [0, 2]
