@@ -14,9 +14,6 @@ from pyspark.sql.window import Window
 
 from offersieve.llm.common import WORD, hold, row_hash
 
-#: At most so many different lengths reach the driver; beyond, lengths are rounded up to a common grain first.
-MAX_LENGTHS = 1 << 16
-
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The upper bounds of at most `buckets` buckets with the least total padding; exact.
@@ -71,10 +68,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     """
     length = word_count(F.col(text)) if length is None else length
     sized = hold(docs.select("doc_id", row_hash("doc_id", text).alias("row"), length.alias("n_tokens")))
-    hist = sized.groupBy("n_tokens").count()
-    longest, kinds = hist.agg(F.max("n_tokens"), F.count("*")).first()
-    grain = 1 if kinds <= MAX_LENGTHS else -(-longest // MAX_LENGTHS)
-    rows = hist.groupBy((F.ceil(F.col("n_tokens") / grain) * grain).cast("long").alias("x")).agg(F.sum("count").alias("n")).collect()
+    # As k different lengths take k * (k - 1) / 2 units of text, their number grows with the root of the input only.
+    rows = sized.groupBy(F.col("n_tokens").alias("x")).agg(F.count("*").alias("n")).collect()
     x, n = np.array([r["x"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
     tops = boundaries(x, n, buckets)
     if not tops:

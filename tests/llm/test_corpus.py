@@ -243,3 +243,11 @@ def test_pipeline_links_near_copies_from_80_per_cent(spark):
     assert 0.80 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1, i) for i, w in enumerate((words, copy, mine))], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, DIR).collect()) == [0, 2]
+
+
+def test_packing_is_exact_over_many_lengths(spark):
+    length = F.when(F.col("doc_id") == 0, 10_000_000).otherwise(3 * F.col("doc_id") + 1).cast("long")
+    docs = spark.range(66_001).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    tops = packing.pack(docs, length, buckets=3).groupBy("bucket", "bucket_length").agg(F.min("padding").alias("least")).collect()
+    # one bucket for the longest, and the others halve the rest
+    assert sorted(r.bucket_length for r in tops) == [3 * 33_000 + 1, 3 * 66_000 + 1, 10_000_000] and all(r.least == 0 for r in tops)
