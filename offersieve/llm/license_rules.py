@@ -1,7 +1,7 @@
 """The ordered signature table of the license scan. Plain data: names, keywords, phrase templates.
 
-Each rule is (label, keyword, regex, priority): a document is tried against a rule only if it holds the keyword; both
-see the text with A-Z in lower case. Priority 3: an identifier tag; 2: a full name in a licensing phrase; 1: a notice.
+Each rule is (label, keyword, regex, priority): a document is tried against a rule only if it holds each word of the
+keyword, wherever they are; both see the text with A-Z in lower case. Priority 3: an identifier tag; 2: a full name in a licensing phrase; 1: a notice.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ LICENSES = [
     ("bsl-1.0", r"bsl-1\.0", "boost", r"boost software licen[sc]e"),
     ("busl-1.1", r"busl-1\.1", "business source", r"business source licen[sc]e"),
     ("unlicense", r"unlicense", "unlicense", r"the unlicense"),
-    ("wtfpl", r"wtfpl", "public license", r"do what the [^ ]{4} you want to public licen[sc]e"),
+    ("wtfpl", r"wtfpl", "public licen", r"do what the [^ ]{4} you want to public licen[sc]e"),
     ("cc0-1.0", r"cc0-1\.0", "cc0", r"cc0(?: 1\.0)?(?: universal)?"),
     ("cc-by-1.0", r"cc-by-1\.0", "attribution", r"creative commons attribution 1\.0"),
     ("cc-by-2.0", r"cc-by-2\.0", "attribution", r"creative commons attribution 2\.0"),
@@ -101,7 +101,7 @@ NOTICES = [
     ("no-warranty", "warrant", r"without (?:any )?warrant(?:y|ies)"),
     ("no-warranty", "provided", r"provided (?:\W)?as is"),
     ("license-notice", "licensed", r"licensed under the"),
-    ("license-notice", "license", r"see (?:the )?(?:file )?licen[sc]e"),
+    ("license-notice", "licen", r"see (?:the )?(?:file )?licen[sc]e"),
     ("non-commercial", "commercial", r"(?:non ?commercial|not for commercial) use"),
     ("no-redistribution", "redistribut", r"(?:do not|may not be|not be) redistributed?"),
     ("terms", "terms of", r"terms of (?:use|service)"),
@@ -126,5 +126,5 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out + [(label, keyword, _gaps(p), 1) for label, keyword, p in NOTICES]
 
 
-#: No rule can match a text that holds none of these.
+#: No rule can match a text that holds all words of none of these.
 GATE = ["licen", "spdx", "rights reserved", "copyright", "permission", "public domain", "warrant", "redistribut", "commercial", "proprietary", "terms", "provided", "mit no", "cc0", "creative commons", "openrail"]

@@ -68,9 +68,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     loose = F.lower(t)  # only for the gates, which may let more through than they must
     has = lambda *words: F.col("c_loose").contains(words[0]) if len(words) == 1 else has(words[0]) & has(*words[1:])
     base_gate = (has("cc") & has("by") & F.col("c_loose").rlike(f"cc{GAP}by")) | has("general", "public", "license") | has("all", "rights", "reserved")
-    gate = has(GATE[0])
-    for word in GATE[1:]:
-        gate = gate | has(word)
+    gate = has(*GATE[0].split())
+    for words in GATE[1:]:
+        gate = gate | has(*words.split())
     step = docs.withColumn("c_loose", loose).withColumns({"c_in_base": base_gate, "c_in": gate | base_gate}).drop("c_loose")
     step = step.withColumn("c_low", F.when(F.col("c_in"), F.translate(t, UPPER, LOWER)))
     any_base = "(?:" + "|".join(_phrase(p) for p, _ in BASE) + ")"
@@ -83,8 +83,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     by_keyword: dict[str, list[Column]] = {}
     for label, keyword, pattern, priority in rules():
         by_keyword.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("rx"), F.lit(priority).alias("priority")))
-    signatures = F.array(*[F.struct(F.lit(k).alias("kw"), F.array(*r).alias("rules")) for k, r in by_keyword.items()])
-    near = F.flatten(F.transform(F.filter(signatures, lambda k: low.contains(k["kw"])), lambda k: k["rules"]))
+    signatures = F.array(*[F.struct(F.array(*map(F.lit, k.split())).alias("words"), F.array(*r).alias("rules")) for k, r in by_keyword.items()])
+    near = F.flatten(F.transform(F.filter(signatures, lambda k: F.forall(k["words"], lambda w: low.contains(w))), lambda k: k["rules"]))
     tried = F.filter(near, lambda r: F.regexp(low, r["rx"]))
     step = step.withColumns({
         "c_first": F.when(some, _word_count(F.regexp_extract(low, rf"(?s)^(.*?){any_base}", 1))),

@@ -251,3 +251,12 @@ def test_packing_is_exact_over_many_lengths(spark):
     tops = packing.pack(docs, length, buckets=3).groupBy("bucket", "bucket_length").agg(F.min("padding").alias("least")).collect()
     # one bucket for the longest, and the others halve the rest
     assert sorted(r.bucket_length for r in tops) == [3 * 33_000 + 1, 3 * 66_000 + 1, 10_000_000] and all(r.least == 0 for r in tops)
+
+
+def test_license_gates_allow_any_gap(spark):
+    said = {
+        "released into the public\ndomain": "public-domain", "some rights\nreserved": "reserved", "GNU General\nPublic License": "gpl,gpl-any", "Creative\n  Commons": "cc-any",
+        "MIT-No attribution": "mit-0", "see the licence": "license-notice", "Do what the heck you want to public-licence": "wtfpl", "under the SIL Open\tFont Licence": "ofl-1.1",
+    }
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert [r.c_labels for r in license_scan.scan(docs).orderBy("doc_id").collect()] == list(said.values())
