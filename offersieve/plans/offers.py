@@ -39,7 +39,7 @@ def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = X.normalize(F.col("text"))
-    return _texts(spark, sf_dir).select("doc_id", "source", norm.alias("norm")).withColumns({"tokens": X.tokens(F.col("norm")), "sig": X.significant_of(F.col("norm"))})
+    return _texts(spark, sf_dir).select("doc_id", "source", "text", norm.alias("norm")).withColumns({"tokens": X.tokens(F.col("norm")), "sig": X.significant_of(F.col("norm"))})
 
 
 # SQL pieces -----------------------------------------------------------------------------------------------------------
@@ -402,7 +402,7 @@ def user_fanout_decisions(spark, sf_dir):
     terms = sorted({t for u in users for i in u[2] for t in i.terms})
     covered = F.array(*[X.covers(F.col("canon"), X.canonical_py(X.significant_py(t), GROUPS)) for t in terms])
     small = R.held(_canon(spark, sf_dir).select(
-        "doc_id", F.sha2("norm", 256).alias("h"), R.fixed_reason(F.col("norm"), F.lit("")).alias("fixed"), R.exclusion(F.col("sig"), EXCLUSIONS, ALIASES).alias("excluded"),
+        "doc_id", F.sha2("norm", 256).alias("h"), R.fixed_reason(F.col("norm"), F.col("text")).alias("fixed"), R.exclusion(F.col("sig"), EXCLUSIONS, ALIASES).alias("excluded"),
         R.rule_reason(F.col("tokens"), RULES).alias("rule"), F.size("canon").alias("len"), X.term_counts(F.col("canon"), every).alias("tf"), covered.alias("covered")))
     first = small.groupBy("h").agg(F.min("doc_id").alias("first"))
     c = small.join(first, "h").join(F.broadcast(small.agg(*R.term_stats(len(every)))))  # one row of statistics
@@ -440,9 +440,9 @@ def sql_replay() -> str:
 @query(sql_replay())
 def replay_metrics(spark, sf_dir):
     """Offline replay: prefilter, corpus of what passes, BM25 of the profile, confusion counts; one pass over the texts."""
-    d = _sig(spark, sf_dir).join(_read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant")), "doc_id")
-    fine = R.fixed_reason(F.col("norm"), F.lit("")).isNull() & ~F.coalesce(R.rule_reason(F.col("tokens"), RULES).startswith("rule_deny:"), F.lit(False))
-    small = R.held(d.select("doc_id", "relevant", F.sha2("norm", 256).alias("h"), fine.alias("fine"), F.size("sig").alias("len"), X.term_counts(F.col("sig"), list(REPLAY)).alias("tf")))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant"))
+    fine = R.fixed_reason(F.col("norm"), F.col("text")).isNull() & ~F.coalesce(R.rule_reason(F.col("tokens"), RULES).startswith("rule_deny:"), F.lit(False))
+    small = R.held(_sig(spark, sf_dir).select("doc_id", F.sha2("norm", 256).alias("h"), fine.alias("fine"), F.size("sig").alias("len"), X.term_counts(F.col("sig"), list(REPLAY)).alias("tf")).join(labels, "doc_id"))
     first = small.groupBy("h").agg(F.min("doc_id").alias("first"))
     judged = small.join(first, "h").withColumn("passed", F.col("fine") & (F.col("doc_id") == F.col("first")))
     stats = judged.agg(*R.term_stats(len(REPLAY), F.col("passed")))

@@ -82,3 +82,15 @@ def test_against_sql(spark, name):
     assert sorted(cols) == sorted(df.columns)
     key = lambda rows, names: sorted(tuple(str(round(r[names.index(c)], 6) if isinstance(r[names.index(c)], float) else r[names.index(c)]) for c in sorted(cols)) for r in rows)
     assert key([tuple(r) for r in df.collect()], df.columns) == key(result.fetchall(), cols)
+
+
+def test_link_spam_in_replay_and_fanout(spark, tmp_path):
+    links = " ".join(f"ing und https://x.test/{i}" for i in range(5))
+    texts = [links, links.rsplit(" ", 1)[0], *(f"word{i} other" for i in range(8))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 2), 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = {(r.user_id, r.doc_id): r.stage for r in catalogue.QUERIES["user_fanout_decisions"](spark, str(tmp_path)).collect()}
+    assert all((stages[u, 0] == "hard_filter") and stages[u, 1] != "hard_filter" for u in (1, 2, 3))
+    r = catalogue.QUERIES["replay_metrics"](spark, str(tmp_path)).first()
+    assert (r.relevant, r.kept) == (2, 1)
