@@ -16,6 +16,9 @@ SPACE = r"[\x20\x09-\x0D]"
 
 _own_dir: list[str] = []
 
+#: Rows in a file of a scratch table.
+FILE_ROWS = 1 << 19
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
@@ -46,18 +49,34 @@ def hold(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, merge: int = 8) -> DataFrame:
-    """Write df to a table in the shared folder and read it again: lineage is cut, and any executor can read every part.
-    A file holds `merge` shuffle partitions, as these tables are much smaller than the input."""
+def write_table(df: DataFrame) -> DataFrame:
+    """Write df, as it is dealt, to a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/offersieve-{uuid.uuid4().hex}"
-    df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // merge)).write.parquet(path)
+    df.write.parquet(path)
     atexit.register(_delete_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def materialize(df: DataFrame, rows: int = FILE_ROWS) -> DataFrame:
+    """A table in the shared folder: lineage is cut, and any executor can read every part. The rows are computed over all
+    tasks first and held on disk, then written in files of about `rows` rows, so a small table is one file however many
+    partitions made it."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    count = held.count()
+    out = write_table(held.coalesce(max(1, -(-count // rows))))
+    out._rows = count
+    held.unpersist()
+    return out
+
+
+def rows_of(table: DataFrame) -> int:
+    """How many rows a materialized table has."""
+    return table._rows
+
+
 def release(df: DataFrame) -> None:
     """Give back what a materialized table holds, once nothing reads it any more."""
     if hasattr(df, "_scratch"):
@@ -67,9 +86,23 @@ def release(df: DataFrame) -> None:
 
 
 def row_hash(*columns: Column | str) -> Column:
-    """64 bits of a row's identity: the same for repeated rows, and stable when a lost task runs again."""
+    """64 bits of a row's identity: the same for repeated rows, and stable when a lost task runs again. Rows are told apart
+    by their id and this, see same_row."""
     return F.xxhash64(*columns)
 
 
+def same_row(left: DataFrame, right: DataFrame, left_row: str, right_row: str, left_id: str = "doc_id", right_id: str = "doc_id") -> Column:
+    """Join condition: the same id (null is an id too) and the same hash."""
+    return (left[left_row] == right[right_row]) & left[left_id].cast("long").eqNullSafe(right[right_id])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -12,8 +12,9 @@ lost, and no pair within a component is ever listed.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a text of fewer than five words is
 its whole sequence as one shingle; repeated rows are linked with each other; rows with a null doc_id take part, and a
-component of such rows only has a null component_id; kept is doc_id <=> component_id; an empty table gives no rows.
-Sets are told apart by 64-bit hashes.
+component of such rows only has a null component_id; kept is doc_id <=> component_id; an empty table gives no rows;
+columns other than doc_id and the text play no part, whatever their names; a very long text is one row's work, in a few
+dozen bytes a byte. Shingles are told apart by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import hold, materialize, release, row_hash
+from offersieve.llm.common import hold, materialize, release, row_hash, rows_of, same_row
 from offersieve.llm.components import components
 from offersieve.llm.shingles import mix64, pieces, shingle_sets
 
 ROWS, BANDS = 5, 28
 HASHES = ROWS * BANDS
 SMALL = 48
-BLOCK = 2048
+#: Most classes and bytes of full sets in one side of a comparison of blocks; rows in a file of full sets.
+BLOCK, BLOCK_BYTES, SET_ROWS = 2048, 16 << 20, 1 << 14
 _rng = np.random.Generator(np.random.PCG64(3))
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -106,16 +108,16 @@ def _signed_rows(docs: DataFrame, text: str) -> DataFrame:
                 cid.append(set_id(mine))
                 bands.append(band_keys(s))
                 sigs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "row", "n_shingles", "cid", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "row", "n_shingles", "cid", "bands", "sig"])
 
     cols = docs.select(F.col("doc_id").cast("long"), row_hash("doc_id", text).alias("row"), F.col(text).alias("text"))
-    return cols.mapInArrow(sign, "doc_id long, row long, n_shingles long, cid long, bands array<long>, sig binary")
+    return cols.mapInArrow(sign, "doc_id long, row long, n_shingles long, cid binary, bands array<long>, sig binary")
 
 
-def set_id(mine: np.ndarray) -> int:
+def set_id(mine: np.ndarray) -> bytes:
+    """128 bits of a set."""
     with np.errstate(over="ignore"):
-        x = np.array([np.sum(mix64(mine ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(mine))], np.uint64)
-    return int(mix64(x).view(np.int64)[0])
+        return mix64(np.array([np.sum(mix64(mine ^ np.uint64(x))) + np.uint64(len(mine)) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], np.uint64)).tobytes()
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -132,7 +134,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
 
     sig = classes.select("cid", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(prune, "a long, b long")
+    return both.mapInArrow(prune, "a binary, b binary")
 
 
 def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -144,9 +146,10 @@ def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> Da
             sets = [flat[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cid", "hashes"])
 
-    rows = classes.select("cid", "row").join(cids.distinct(), "cid")
-    texts = docs.select(row_hash("doc_id", text).alias("row"), F.col(text).alias("text")).join(rows, "row").select("cid", "text")
-    return materialize(texts.mapInArrow(to_sets, "cid long, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes")), merge=4)
+    rows = classes.select("cid", "row", F.col("lead.doc_id").alias("id")).join(cids.distinct(), "cid")
+    texts = docs.select("doc_id", row_hash("doc_id", text).alias("h"), F.col(text).alias("text"))
+    texts = texts.join(rows, same_row(texts, rows, "h", "row", right_id="id")).select("cid", "text")
+    return materialize(texts.mapInArrow(to_sets, "cid binary, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes")), SET_ROWS)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, per_hundred: int) -> DataFrame:
@@ -159,7 +162,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
 
     sets = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), classes, docs, text)
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    out = materialize(both.mapInArrow(verify, "a long, b long"), merge=4)
+    out = materialize(both.mapInArrow(verify, "a binary, b binary"))
     release(sets)
     return out
 
@@ -182,14 +185,14 @@ class Union:
     """Labels that links have joined, within one task."""
 
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict[bytes, bytes] = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x: bytes) -> bytes:
         while (y := self.up.get(x, x)) != x:
             self.up[x] = x = self.up.get(y, y)
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: bytes, y: bytes) -> None:
         self.up[self.find(x)] = self.find(y)
 
 
@@ -198,21 +201,21 @@ def _between_components(large: DataFrame, label: DataFrame, classes: DataFrame,
     largest component meet blocks of all its classes, with their signatures and full sets, so pairs are compared and
     verified where they meet, in their first shared band only. A task gives no link between labels that its links have
     joined already: fewer links than labels, however many pairs it compares."""
-    member = large.select("key", "cid").join(label.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    member = large.select("key", "cid", "n_shingles").join(label.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     member = materialize(member)
-    kinds = member.groupBy("key", "label").agg(F.count("*").alias("n"))
-    most = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("labels")).filter("labels > 1")
+    kinds = member.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    most = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), (8 * F.sum("s")).alias("bytes"), F.count("*").alias("labels")).filter("labels > 1")
     member = materialize(member.join(most, "key"))
     sets = _sets(member.select("cid"), classes, docs, text)
     member = member.join(classes.select("cid", "sig", "bands"), "cid").join(sets, "cid")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     everyone = member.withColumn("right", block).withColumn("left", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1))
     outside = member.filter("label <> main").withColumn("left", block).withColumn("right", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
     cols = ["key", "left", "right", "side", "cid", "label", "sig", "bands", "hashes"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[bytes, bytes]] = []
         here, there = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if len(here) and len(there):
             sig = np.frombuffer(b"".join(there.sig), np.uint32).reshape(-1, HASHES)
@@ -232,21 +235,22 @@ def _between_components(large: DataFrame, label: DataFrame, classes: DataFrame,
                     if union.find(label[j]) != union.find(lab) and similar(x, full[j], per_hundred):
                         union.join(label[j], lab)
                         out.append((c, cid[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
-    links = materialize(outside.select(cols).union(everyone.select(cols)).groupBy("key", "left", "right").applyInPandas(compare, "a long, b long"), merge=2)
+    links = materialize(outside.select(cols).union(everyone.select(cols)).groupBy("key", "left", "right").applyInPandas(compare, "a binary, b binary"))
     release(sets)
     return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", per_hundred: int = 85, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row, lead_row (the row hash of the component's one survivor)."""
+    """doc_id, n_shingles, component_id, kept, row, lead_row (the row hash of the component's one survivor), which
+    goes with component_id."""
     threshold = per_hundred / 100
     signed = hold(_signed_rows(docs, text))
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    one = F.first(F.struct("bands", "sig"))
-    classes = hold(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min(lead).alias("lead"), one.alias("one")).select("cid", "lead", F.col("lead.row").alias("row"), "one.bands", "one.sig"))
-    bands = classes.select("cid", F.explode("bands").alias("key"))
+    one = F.first(F.struct("bands", "sig", "n_shingles"))
+    classes = hold(signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min(lead).alias("lead"), one.alias("one")).select("cid", "lead", F.col("lead.row").alias("row"), "one.bands", "one.sig", "one.n_shingles"))
+    bands = classes.select("cid", "n_shingles", F.explode("bands").alias("key"))
     full = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid", "key").alias("h"), "cid")).alias("p")).filter("n > 1")
     buckets = materialize(bands.join(full.select("key", "n", F.col("p.cid").alias("pivot")), "key"))
     small, large = buckets.filter(F.col("n") <= SMALL), buckets.filter(F.col("n") > SMALL)
@@ -258,7 +262,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", per_hundred: int = 85,
     label = components(links)
     if not large.isEmpty():
         more = _between_components(large, label, classes, docs, text, per_hundred, miss)
-        if not more.isEmpty():
+        if rows_of(more):
             release(label)
             label = components(links.union(more))
     release(buckets)

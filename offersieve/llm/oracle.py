@@ -66,15 +66,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body |
   sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, body)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
 
 # Windows of 400 bytes are told apart by 64 bits of their hash; positions are in bytes from 0.
-OP10 = """WITH b AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+OP10 = r"""WITH b AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
 w AS (SELECT rid, p, hash(substr(h, 2 * p + 1, 800)) AS g FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM b)),
 d AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
 m AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN d USING (g)),
 i AS (SELECT rid, min(p) AS s, max(p) + 400 AS e FROM (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS isle FROM m) GROUP BY rid, isle),
+y AS (SELECT row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS y FROM documents),
+v AS (SELECT rid, p, hash(array_to_string(y[p:p + 50], ' ')) AS g FROM (SELECT rid, y, unnest(range(1, len(y) - 49)) AS p FROM y)),
+q AS (SELECT rid, count(DISTINCT p + k) AS n FROM v SEMI JOIN (SELECT g FROM v GROUP BY g HAVING count(*) > 1) USING (g), (SELECT unnest(range(51)) AS k) GROUP BY rid),
 c AS (SELECT rid, s, e FROM i UNION ALL SELECT rid, len(h) // 2, NULL FROM b),
 k AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s, e NULLS LAST), 0) AS a FROM c)
-SELECT any_value(doc_id)::BIGINT AS doc_id, any_value(len(h) // 2)::BIGINT AS n_bytes, coalesce(sum(e - s), 0)::BIGINT AS n_removed, count(e) AS n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s, e NULLS LAST))) AS kept_sha256
-FROM k JOIN b USING (rid) GROUP BY rid"""
+SELECT any_value(doc_id)::BIGINT AS doc_id, any_value(len(h) // 2)::BIGINT AS n_bytes, coalesce(sum(e - s), 0)::BIGINT AS n_removed, count(e) AS n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s, e NULLS LAST))) AS kept_sha256, any_value(coalesce(q.n, 0))::BIGINT AS passage_words
+FROM k JOIN b USING (rid) LEFT JOIN q USING (rid) GROUP BY rid"""
 
 # For texts without carriage returns, of which the driver tables have none.
 OP5 = r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),

@@ -61,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"), passages=51)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

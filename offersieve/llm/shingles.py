@@ -10,6 +10,7 @@ import pyarrow as pa
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C52F, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACED = np.random.Generator(np.random.PCG64(11)).integers(0, (1 << 64) - 1, (64, 256), dtype=np.uint64, endpoint=True)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -50,19 +51,66 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], offsets - offsets[0]
 
 
-class Window64:
-    """Hashes of any stretch of bytes in O(1): polynomial prefix sums modulo 2^64, each hash mixed."""
+class Rolling:
+    """Hashes of any stretch of symbols in O(1): polynomial prefix sums modulo 2^64 over mixed grams of `gram` symbols,
+    each hash mixed. A plain polynomial over symbols gives a word and its complement in the Thue-Morse order one hash,
+    whatever its base; grams, once mixed, have no such order. A stretch has at least `gram` symbols."""
 
-    def __init__(self, raw: np.ndarray) -> None:
-        n = len(raw)
+    def __init__(self, mixed: np.ndarray, gram: int) -> None:
+        n = len(mixed)
+        self.gram, self.size = gram, n + gram - 1
         with np.errstate(over="ignore"):
             self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[raw] * powers(_BASE, n), out=self.sums[1:])
+            np.cumsum(mixed * powers(_BASE, n), out=self.sums[1:])
             self.back = powers(_INVERSE, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix64((self.sums[end] - self.sums[start]) * self.back[start])
+            return mix64((self.sums[end - self.gram + 1] - self.sums[start]) * self.back[start])
+
+
+def rolling_bytes(raw: np.ndarray) -> Rolling:
+    """Over grams of 8 bytes."""
+    x = raw.astype(np.uint64)
+    for k in (1, 2, 4):
+        x = x[: max(0, len(x) - k)] | (x[k:] << np.uint64(8 * k))
+    with np.errstate(over="ignore"):
+        return Rolling(mix64(x ^ _STEPS[0]), 8)
+
+
+def rolling_words(hashes: np.ndarray) -> Rolling:
+    """Over grams of 4 words."""
+    n = max(0, len(hashes) - 3)
+    with np.errstate(over="ignore"):
+        return Rolling(mix64(sum(hashes[k : k + n] * _STEPS[k] for k in range(4))), 4)
+
+
+def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of anything but ASCII white space; none crosses an offset."""
+    n = len(raw)
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _GAP[raw]
+    # A row's first byte starts a word even where the row before ends in one.
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    word = ~gap[1:-1]
+    return np.flatnonzero(word & (gap[:-2] | edge[:-1])), np.flatnonzero(word & (gap[2:] | edge[1:])) + 1
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word: the sum of a random number for each byte and place in the word, mixed with the length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1])
+    byte = raw[place + np.repeat(starts - first, sizes)]
+    place -= np.repeat(first, sizes)
+    far = np.flatnonzero(place >= len(_PLACED))
+    with np.errstate(over="ignore"):
+        value = _PLACED.ravel()[(np.minimum(place, len(_PLACED) - 1) << 8) | byte]
+        value[far] = mix64(_BYTE[byte[far]] + place[far].astype(np.uint64) * _MUL)
+        return mix64(np.add.reduceat(value, first) + sizes.astype(np.uint64) * _STEPS[1])
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -84,16 +132,9 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
     """
     raw, offsets = text_bytes(column)
     raw = _LOWER[raw]
-    n, rows = len(raw), len(offsets) - 1
-    gap = np.ones(n + 2, bool)
-    gap[1:-1] = _GAP[raw]
-    word = ~gap
-    # A row's first byte starts a word even where the row before ends in one.
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(word[1:-1] & (gap[:-2] | edge[:-1])) if n else np.zeros(0, np.int64)
-    ends = np.flatnonzero(word[1:-1] & (gap[2:] | edge[1:])) + 1 if n else np.zeros(0, np.int64)
-    hashes = Window64(raw).of(starts, ends)
+    rows = len(offsets) - 1
+    starts, ends = word_places(raw, offsets)
+    hashes = word_hashes(raw, starts, ends)
     first = np.searchsorted(starts, offsets)  # index of each row's first word
     counts = np.diff(first)
     with np.errstate(over="ignore"):

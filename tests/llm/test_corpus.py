@@ -112,6 +112,66 @@ def test_suffix_dedup(docs, rows, how):
     assert got == Counter((str(i), *brute((t or "").encode())) for i, t in rows)
 
 
+def test_texts_apart_that_a_polynomial_joins(spark):
+    turn = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = turn.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, turn[:512]), (2, other[:512]), (3, turn), (4, other)], "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in near_dedup.near_duplicates(docs).collect())
+    blocks = spark.createDataFrame([(1, "".join(f"{x}" * 2 for x in turn[:600])), (2, "".join(f"{x}" * 2 for x in other[:600]))], "doc_id long, text string")
+    n = Counter(t[i : i + 400] for (_, t) in blocks.collect() for i in range(len(t) - 399))
+    want = {i: sum(any(n[t[j : j + 400]] > 1 for j in range(max(0, x - 399), min(x, len(t) - 400) + 1)) for x in range(len(t))) for i, t in blocks.collect()}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digest(blocks).collect()} == want
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"unit": "word", "width": 51}, {"unit": "word", "width": 8, "hot": 1}])
+def test_suffix_dedup_keeps_the_first(docs, rows, how):
+    """Spans of what comes again, in order of (doc_id, row); repeated rows lose what the first of them loses."""
+    width, word = how.get("width", 400), how.get("unit") == "word"
+    keyed = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", suffix_dedup.row_hash("doc_id", "text").alias("h")).collect()}
+    of = lambda t: (t or "").encode().split() if word else (t or "").encode()
+    twice = Counter(rows)
+    seen, want = set(), {}
+    for d, t in sorted(keyed, key=lambda r: (r[0] is None, r[0] or 0, keyed[r])):
+        s = of(t)
+        gone = bytearray(len(s))
+        for j in range(len(s) - width + 1):
+            w = tuple(s[j : j + width])
+            if w in seen:
+                gone[j : j + width] = b"\1" * width
+            seen.add(w)
+        assert twice[(d, t)] <= 2
+        if any(gone):
+            want[(d, keyed[(d, t)])] = [list(m.span()) for m in re.finditer(b"\1+", bytes(gone))]
+    got = {(r.id, r.row): suffix_dedup.merged([s.asDict() for s in r.spans]) for r in suffix_dedup.repeats(docs, keep_first=True, **how).collect()}
+    first = {k: v for k, v in got.items() if k in want or k not in {(d, keyed[(d, t)]) for (d, t), n in twice.items() if n > 1}}
+    assert first == want
+
+
+def test_suffix_dedup_counts_words_of_passages(docs, rows):
+    n = Counter(tuple(w[j : j + 51]) for _, t in rows for w in [(t or "").encode().split()] for j in range(len(w) - 50))
+
+    def brute(w):
+        gone = bytearray(len(w))
+        for j in range(len(w) - 50):
+            if n[tuple(w[j : j + 51])] > 1:
+                gone[j : j + 51] = b"\1" * 51
+        return sum(gone)
+
+    got = Counter((str(r.doc_id), r.passage_words) for r in suffix_dedup.digest(docs, passages=51).collect())
+    assert got == Counter((str(i), brute((t or "").encode().split())) for i, t in rows)
+
+
+def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    passage, rows = words(200), []
+    for i in range(3):
+        rows.append((i, f"{words(1500 + i)} {passage} {words(900)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [(r.n_removed >= len(passage), r.n_spans, r.passage_words) for r in suffix_dedup.digest(docs, passages=51).collect()] == [(True, 1, 200)] * 3
+
+
 def test_line_dedup(docs, rows):
     seen, want = set(), {}
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
