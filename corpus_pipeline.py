@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offersieve.llm import mixing, near_dedup, packing, quality_hosts, suffix_dedup
-from offersieve.llm.common import materialize, read, row_hash
+from offersieve.llm.common import fresh, read, row_hash, same_row, write_table
 
 
-#: A passage of over 50 words goes if it repeats; it has WIDTH bytes at least, as each word has one and a space.
+#: A passage of over 50 words goes if it repeats.
 WORDS = 51
-WIDTH = 2 * WORDS - 1
-
 
 #: Of 100: the Jaccard similarity of word shingles from which documents are near copies; 85 is op3's.
 SIMILAR = 80
@@ -30,15 +28,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; repeated rows count as one."""
-    lead = near_dedup.near_duplicates(docs, per_hundred=SIMILAR).filter("row = lead_row").select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_hash("doc_id", "text")).join(lead, "__row").dropDuplicates(["__row"]).select(docs.columns)
+    lead = near_dedup.near_duplicates(docs, per_hundred=SIMILAR).filter("row = lead_row AND kept").select("row", "doc_id").distinct()
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), row_hash("doc_id", "text").alias("h"))
+    return whole.join(lead, same_row(whole, lead, "h", "row", left_id="id")).dropDuplicates(["id", "h"]).select("doc.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages of over 50 words; a document of which nothing is left goes."""
-    marked = docs.withColumn("__had", F.trim(F.coalesce("text", F.lit(""))) != "")
-    cut = suffix_dedup.cut_texts(marked, min_words=WORDS, width=WIDTH, keep_first=True)
-    kept = cut.filter(~F.col("__had") | (F.trim("text") != "")).drop("__had")
+    had = fresh(docs, "had")
+    marked = docs.withColumn(had, F.trim(F.coalesce("text", F.lit(""))) != "")
+    cut = suffix_dedup.cut_texts(marked, unit="word", width=WORDS, keep_first=True)
+    kept = cut.filter(~F.col(had) | (F.trim("text") != "")).drop(had)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
@@ -70,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, merge=1)
+            docs = write_table(docs)
     return docs
