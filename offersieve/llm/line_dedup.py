@@ -1,10 +1,19 @@
-"""Substring dedup by line: units are normalised, digests grouped over the whole corpus, the earliest ranked occurrence
-stays and the others go, with their offsets in the original text.
-
-Defined results: a null or empty text has no units and loses nothing; units of fewer than `min_words` words are never
-removed; ties of rank are broken by the row's hash, then by position in the text; of repeated rows, which share rank
-and hash, the first occurrence within the text counts for each of them; a null rank comes after all others; an empty
-table gives no rows.
+"""Substring dedup by hashed units: lines or paragraphs, and the sentences in them. Units are normalised, digests grouped
+over the whole corpus, the earliest ranked occurrence stays and the others go, with their offsets in the original text.
+
+Every line (or paragraph) with a word is hashed; one that occurred before goes, whatever its length. Sentences are hashed
+too, as a passage is often pasted into the middle of a line: consecutive sentences that all occurred before are a passage
+if they have at least `passage_words` words together, and those that are not in a removed line go as well. A shorter run
+stays, as short sentences meet by chance.
+
+Normal form: A-Z lower-cased, words (runs of anything but ASCII white space) joined by one space. Sentences end in . ! ?
+or their full-width forms, and a line's sentences tile it. Ranks order occurrences, then the row's hash, then the place
+in the text.
+
+Defined results: a null or empty text has no units and loses nothing, nor does a unit without words; of repeated rows,
+which share rank and hash, the first occurrence within the text counts for each of them; a null rank comes after all
+others; an empty table gives no rows; other columns are kept, whatever their names, but l_spans, l_passages,
+l_passage_words and l_kept are set; a very long text is one row's work, in memory of a few times its size.
 """
 
 from __future__ import annotations
@@ -12,86 +21,147 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import row_hash
+from offersieve.llm.common import materialize, row_hash, same_row
 
-UNIT_SCHEMA = "row long, rank long, start int, end int, d1 long, d2 long"
+UNIT_SCHEMA = "row long, rank long, at int, d1 long, d2 long"
 SEPARATORS = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n"}
-
-
-def units(docs: DataFrame, text: str = "text", rank: str = "doc_id", kind: str = "line", min_words: int = 5) -> DataFrame:
-    """A row for each unit that may be removed: offsets in code points, end exclusive and without the separator, and the
-    128-bit digest of its normal form (lower case, each run of white space one space, none at either end)."""
-    sep = re.compile(f"(?:{SEPARATORS[kind]})|\\Z")
+SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+PASSAGE_WORDS = 25
+#: A digest with more than this share of all repeated occurrences meets them by broadcast; so there are fewer than 1 / HOT.
+HOT = 1e-4
+
+
+def units(text: str, sep: re.Pattern) -> Iterator[tuple[int, int, int, str]]:
+    """start, end, number of words and normal form of each line with a word, each followed by its sentences (if it has
+    more than one), which have their start's complement for a start."""
+    begin = 0
+    for found in sep.finditer(text):
+        line = text[begin : found.start()]
+        words = WORD.findall(line.translate(_LOWER))
+        if words:
+            yield begin, found.start(), len(words), " ".join(words)
+            parts = [(m.span(), w) for m in SENTENCE.finditer(line) if (w := WORD.findall(m[0].translate(_LOWER)))]
+            if len(parts) > 1:
+                for (s, e), w in parts:
+                    yield ~(begin + s), begin + e, len(w), " ".join(w)
+        begin = found.end()
+
+
+def separator(kind: str) -> re.Pattern:
+    return re.compile(f"(?:{SEPARATORS[kind]})|\\Z")
+
+
+def digests(docs: DataFrame, text: str = "text", rank: str = "doc_id", kind: str = "line") -> DataFrame:
+    """A row for each unit: its number in the text and the 128-bit digest of its normal form. A line that is one sentence
+    is hashed once; sentences of lines and lines share one space of digests, so that either can be the earlier one."""
+    sep = separator(kind)
+    names, types = zip(*(x.split() for x in UNIT_SCHEMA.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "int": pa.int32()}[t] for t in types]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[int]] = [[], [], [], [], [], []]
+            # a text at a time, so that a batch of long ones is never held as units whole
+            cols: list[list[int]] = [[], [], [], [], []]
             for row, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start = 0
-                body = body or ""
-                for found in sep.finditer(body):
-                    words = body[start : found.start()].lower().split()
-                    if len(words) >= min_words:
-                        digest = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        for c, v in zip(cols, (row, at, start, found.start(), _signed(digest >> 64), _signed(digest)), strict=True):
-                            c.append(v)
-                    start = found.end()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
+                for i, (_, _, _, form) in enumerate(units(body or "", sep)):
+                    digest = xxhash.xxh3_128_intdigest(form.encode("utf-8", "surrogatepass"))
+                    for c, v in zip(cols, (row, at, i, _signed(digest >> 64), _signed(digest)), strict=True):
+                        c.append(v)
+                if len(cols[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
+                    cols = [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
 
     return docs.select(row_hash(rank, text).alias("row"), F.col(rank).cast("long").alias("rank"), F.col(text).alias("text")).mapInArrow(split, UNIT_SCHEMA)
 
 
-_NAMES = [x.split()[0] for x in UNIT_SCHEMA.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-
-
 def _signed(x: int) -> int:
     x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
 
 
-def removals(spread: DataFrame) -> DataFrame:
-    """A row a document that loses units: row, and spans, sorted, of what goes.
+def repeated(spread: DataFrame) -> DataFrame:
+    """A row a document that has any: rank, row, and the numbers of its units that occurred before, sorted.
 
-    Groups are summed before the shuffle (a digest's earliest occurrence and count), so a line that a third of all
-    documents hold is one row a task; only digests with more than one occurrence come back, by a join in which Spark can
-    split a hot digest's partition.
+    A digest's occurrences are summed before the shuffle. The few digests that make up a large share of all repeats come
+    back to their units by a broadcast of fewer than 1 / HOT rows, and their units are spread over the join's tasks; the
+    others come back by the join.
     """
-    order = F.struct(F.col("rank").isNull().alias("no_rank"), "rank", "row", "start")
-    first = spread.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread.join(first, ["d1", "d2"]).filter(order != F.col("first"))
-    return later.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", rank: str = "doc_id", kind: str = "line", min_words: int = 5) -> DataFrame:
-    """docs with l_spans (what goes) and l_kept (the rest of the text; a removed unit takes the separator after it along)."""
-    gone = removals(units(docs, text, rank, kind, min_words)).withColumnRenamed("row", "l_row").withColumnRenamed("spans", "l_spans")
-    out = docs.withColumn("l_row", row_hash(rank, text)).join(gone, "l_row", "left").drop("l_row")
-
-    def cut(texts, spans):
-        import pandas as pd
-
-        return pd.Series([_without(a, b) for a, b in zip(texts, spans, strict=True)])
-
-    drop = F.pandas_udf(cut, "string")
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return out.withColumn("l_spans", F.coalesce("l_spans", empty)).withColumn("l_kept", F.when(F.size("l_spans") > 0, drop(text, "l_spans")).otherwise(F.col(text)))
-
-
-def _without(text: str, spans) -> str:
-    if text is None or spans is None:
-        return text
+    order = F.struct(F.col("rank").isNull().alias("no_rank"), "rank", "row", "at")
+    first = materialize(spread.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = first.filter(F.col("n") > HOT * total).select("d1", "d2", F.col("first").alias("hot"))
+    cold = first.filter(F.col("n") <= HOT * total).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first")
+    met = spread.join(F.broadcast(hot), ["d1", "d2"], "left")
+    key = F.when(F.col("hot").isNull(), F.col("d1")).otherwise(F.xxhash64("row", "at"))
+    met = met.withColumn("e1", key).withColumn("e2", F.when(F.col("hot").isNull(), F.col("d2")).otherwise(F.col("row"))).join(cold, ["e1", "e2"], "left")
+    later = met.withColumn("first", F.coalesce("hot", "first")).filter(order != F.col("first"))
+    return later.groupBy("rank", "row").agg(F.sort_array(F.collect_set("at")).alias("again"))
+
+
+def judge(text: str, again: list[int], sep: re.Pattern, least: int) -> tuple[list[tuple[int, int]], int, int]:
+    """What goes, as offsets; how many passages, and how many words they have."""
+    before, spans, runs, words, run, inside = set(again), [], 0, 0, [], -1
+
+    def close() -> None:
+        nonlocal runs, words
+        size = sum(n for _, _, n, _ in run)
+        if size >= least:
+            runs, words = runs + 1, words + size
+            spans.extend((s, e) for s, e, _, free in run if free)
+        run.clear()
+
+    found = list(enumerate(units(text, sep)))
+    for k, (i, (s, e, n, _)) in enumerate(found):
+        if s >= 0:
+            inside = i if i in before else -1
+            if inside >= 0:
+                spans.append((s, e))
+            if k + 1 < len(found) and found[k + 1][1][0] < 0:
+                continue  # its sentences follow
+        if i in before:
+            run.append((~s if s < 0 else s, e, n, s < 0 and inside < 0))
+        else:
+            close()
+    close()
+    return sorted(set(spans)), runs, words
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", rank: str = "doc_id", kind: str = "line", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs with l_spans (what goes), l_passages and l_passage_words (runs of sentences, removed lines included), and
+    l_kept (the rest of the text; a removed line takes the line end after it along)."""
+    sep = separator(kind)
+    gone = repeated(digests(docs, text, rank, kind)).withColumnRenamed("rank", "l_rank").withColumnRenamed("row", "l_row")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(rank).cast("long").alias("rank"), F.col(text).alias("text"), row_hash(rank, text).alias("h"))
+    out = whole.join(gone, same_row(whole, gone, "h", "l_row", "rank", "l_rank"), "left")
+    schema = "l_spans array<struct<start:int,end:int>>, l_passages long, l_passage_words long, l_kept string"
+
+    def cut(texts: pd.Series, again: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, a in zip(texts, again, strict=True):
+            spans, runs, words = judge(t, list(a), sep, passage_words) if a is not None else ([], 0, 0)
+            rows.append(([{"start": s, "end": e} for s, e in spans], runs, words, _without(t, spans) if spans else None))
+        return pd.DataFrame(rows, columns=["l_spans", "l_passages", "l_passage_words", "l_kept"])
+
+    judged = F.pandas_udf(cut, schema)("text", "again")
+    out = out.withColumn("l", judged)
+    mine = ("l_spans", "l_passages", "l_passage_words", "l_kept")
+    return out.select(*(F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in mine), *(F.col(f"l.{c}") for c in mine[:3]), F.coalesce("l.l_kept", "text").alias("l_kept"))
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
-    for s in spans:
-        out.append(text[at : s["start"]])
-        at = s["end"]
-        while at < len(text) and text[at] in "\r\n":
-            at += 1
-            if text[at - 1] == "\n":
-                break
+    for s, e in spans:
+        out.append(text[at:s])
+        at = e
+        if text[max(0, s - 1) : s] in ("", "\n") and re.match(r"\r?\n", text[e : e + 2]):
+            at += 1 + (text[e] == "\r")
     return "".join([*out, text[at:]])

@@ -79,12 +79,24 @@ k AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s, e NUL
 SELECT any_value(doc_id)::BIGINT AS doc_id, any_value(len(h) // 2)::BIGINT AS n_bytes, coalesce(sum(e - s), 0)::BIGINT AS n_removed, count(e) AS n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s, e NULLS LAST))) AS kept_sha256, any_value(coalesce(q.n, 0))::BIGINT AS passage_words
 FROM k JOIN b USING (rid) LEFT JOIN q USING (rid) GROUP BY rid"""
 
-# For texts without carriage returns, of which the driver tables have none.
-OP5 = r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+_SENTENCE = r"[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+"
+
+OP5 = rf"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 u AS (SELECT doc_id, i, l[i] AS line, i = len(l) AS last, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)),
-w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}]+') AS w FROM u),
-r AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, s) > 1 AS gone FROM w)
-SELECT doc_id, sum(gone::INTEGER)::BIGINT AS n_removed, coalesce(sum(CASE WHEN gone THEN length(line) END), 0)::BIGINT AS removed_chars, coalesce(string_agg(CASE WHEN gone THEN s || '-' || (s + length(line)) END, ',' ORDER BY s), '') AS removed_spans,
-  sha256(string_agg(CASE WHEN gone THEN '' ELSE line || CASE WHEN last THEN '' ELSE chr(10) END END, '' ORDER BY s)) AS kept_sha256 FROM r GROUP BY doc_id"""
+p AS (SELECT doc_id, i, s, p, len(list_filter(p, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS parts FROM (SELECT *, regexp_extract_all(line, '{_SENTENCE}') AS p FROM u)),
+k AS (SELECT doc_id, i, k, p[k] AS piece, parts, s + coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0)::BIGINT AS s FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM p)),
+f AS (SELECT doc_id, i, 0 AS k, line AS piece, s, parts <= 1 AS single FROM u JOIN p USING (doc_id, i, s) UNION ALL SELECT doc_id, i, k, piece, s, true FROM k WHERE parts > 1),
+w AS (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM f),
+r AS (SELECT doc_id, i, k, s, s + length(piece) AS e, len(w) AS n, single, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i, k) > 1 AS again FROM w WHERE len(w) > 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - row_number() OVER (PARTITION BY doc_id, again ORDER BY i, k) AS isle FROM r WHERE single),
+y AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, isle) AS words FROM x WHERE again),
+z AS (SELECT doc_id, count(DISTINCT isle) AS n_passages, sum(n)::BIGINT AS passage_words FROM y WHERE words >= 25 GROUP BY doc_id),
+a AS (SELECT doc_id, i, k, s, e FROM r WHERE k = 0 AND again),
+b AS (SELECT doc_id, i, k, s, e FROM y ANTI JOIN a USING (doc_id, i) WHERE k > 0 AND words >= 25),
+g AS (SELECT doc_id, count(*) AS n, sum(e - s)::BIGINT AS chars, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM (FROM a UNION ALL FROM b) GROUP BY doc_id),
+c AS (SELECT k.doc_id, k.i, string_agg(CASE WHEN b.k IS NULL THEN piece ELSE '' END, '' ORDER BY k.k) AS rest FROM k LEFT JOIN b USING (doc_id, i, k) GROUP BY k.doc_id, k.i),
+d AS (SELECT u.doc_id, string_agg(CASE WHEN a.i IS NOT NULL THEN '' ELSE coalesce(c.rest, '') || CASE WHEN u.last THEN '' ELSE chr(10) END END, '' ORDER BY u.i) AS kept FROM u LEFT JOIN c USING (doc_id, i) LEFT JOIN a USING (doc_id, i) GROUP BY u.doc_id)
+SELECT doc_id, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS removed_spans, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(passage_words, 0)::BIGINT AS passage_words, sha256(kept) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 ORACLE = {"op1_kd_search": OP1, "op3_near_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": OP7, "op8_quality_hosts": OP8, "op10_suffix_dedup": OP10}

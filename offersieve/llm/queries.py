@@ -32,7 +32,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("l_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("long")
     spans = F.array_join(F.transform("l_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", F.size("l_spans").cast("long").alias("n_removed"), gone.alias("removed_chars"), spans.alias("removed_spans"), F.sha2(F.coalesce("l_kept", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.size("l_spans").cast("long").alias("n_removed"), gone.alias("removed_chars"), spans.alias("removed_spans"), F.col("l_passages").alias("n_passages"), F.col("l_passage_words").alias("passage_words"), F.sha2(F.coalesce("l_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,18 +172,56 @@ def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
     assert [(r.n_removed >= len(passage), r.n_spans, r.passage_words) for r in suffix_dedup.digest(docs, passages=51).collect()] == [(True, 1, 200)] * 3
 
 
-def test_line_dedup(docs, rows):
+@pytest.mark.parametrize("kind", ["line", "paragraph"])
+def test_line_dedup(docs, rows, kind):
+    """By a plain loop over all occurrences in order: lines that came before, and runs of sentences that did."""
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x.translate(LOWER))
+    cut = lambda t: [(m.start(), m.end()) for m in re.finditer(r"[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+", t)]
     seen, want = set(), {}
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        gone = 0
-        for line in (t or "").split("\n"):
-            w = line.lower().split()
-            if len(w) >= 5:
-                gone += tuple(w) in seen
-                seen.add(tuple(w))
-        want[(d, t)] = gone
-    got = Counter((str(r.doc_id), len(r.l_spans)) for r in line_dedup.dedup_lines(docs.drop("row")).collect())
-    assert got == Counter((str(r[0]), want[r]) for r in rows)
+        gone, run, free, passages, at = [], 0, [], [], 0
+        for line in re.split(r"\n" if kind == "line" else r"\n[ \t\r]*\n", t or ""):
+            at = (t or "").index(line, at)
+            if whole := tuple(words(line)):
+                line_again = whole in seen
+                seen.add(whole)
+                if line_again:
+                    gone.append((at, at + len(line)))
+                parts = [(a, b) for a, b in cut(line) if words(line[a:b])]
+                for a, b in parts if len(parts) > 1 else [(0, len(line))]:
+                    form = tuple(words(line[a:b]))
+                    again = form in seen if len(parts) > 1 else line_again
+                    seen.add(form)
+                    if again:
+                        run += len(form)
+                        free += [(at + a, at + b)] if len(parts) > 1 and not line_again else []
+                    else:
+                        passages.append((run, free))
+                        run, free = 0, []
+            at += len(line)
+        passages.append((run, free))
+        long = [(n, f) for n, f in passages if n >= 25]
+        want[(d, t)] = (sorted({*gone, *(x for _, f in long for x in f)}), len(long), sum(n for n, _ in long))
+    wide = docs.withColumnRenamed("row", "l_row").withColumn("L_Spans", F.lit(1)).withColumn("doc", F.lit(2))
+    out = line_dedup.dedup_lines(wide, kind=kind)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "l_row", "doc", "l_spans", "l_passages", "l_passage_words", "l_kept"]
+    out = out.collect()
+    got = Counter((str(r.doc_id), str([tuple(s) for s in r.l_spans]), r.l_passages, r.l_passage_words) for r in out)
+    assert got == Counter((str(d), str(want[(d, t)][0]), *want[(d, t)][1:]) for d, t in rows)
+    assert all(len(r.l_kept or "") <= len(r.text or "") - sum(e - s for s, e in r.l_spans) for r in out)
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_finds_passages_inside_lines(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    passage = ". ".join(words(9) for _ in range(6)) + "."
+    docs = [(i, f"{words(40)} of {passage} {words(40)}. Oh no.") for i in range(3)] + [(3, "Oh no."), (4, "好好学习。\n好好学习。")]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [out[i].l_passages for i in range(5)] == [0, 1, 1, 0, 0]
+    # the passage's first sentence runs on from the text before it, and "Oh no." is too short a run to go
+    assert out[1].l_passage_words == 45 and out[1].l_kept.endswith("Oh no.") and out[0].l_kept == docs[0][1]
+    assert out[3].l_kept == "" and out[4].l_kept == "好好学习。\n"
 
 
 def test_packing_is_optimal(docs, rows):
