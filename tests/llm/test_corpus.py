@@ -284,19 +284,46 @@ def test_chat(spark):
     assert chat_format.unescape(chat_format.escape(odd)) == odd
 
 
-def test_kd_search(spark):
+@pytest.mark.parametrize("shard_rows", [kd_search.SHARD_ROWS, 40])
+def test_kd_search(spark, shard_rows):
+    """One tree, and many shards of which one vector's copies fill several; repeated rows and a null id take part."""
     rng = np.random.default_rng(2)
     v = np.floor(rng.normal(size=(700, 6)) * 2) / 64
-    v[50:60] = v[0]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [float("nan")] * 6), (1002, [None] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = kd_search.top_k(df, df.filter("vec_id % 20 = 0")).collect()
-    q = np.floor(64 * v).astype(int)
-    want = set()
-    for i in range(0, 700, 20):
-        order = sorted((-int(s), j) for j, s in enumerate(q @ q[i]) if j != i)[:20]
-        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(order)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    v[50:260] = v[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    odd = [rows[3], rows[3], (1000, None), (1001, [float("nan")] * 6), (1002, [None] * 6), (1003, [5.0, 1.0]), (None, v[7].tolist())]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))
+    got = kd_search.top_k(df, df.filter("vec_id % 20 = 0"), shard_rows=shard_rows).collect()
+    all_rows = [(i, np.floor(64 * np.array((x + [0.0] * 6)[:6])).astype(int)) for i, x in [*rows, odd[0], odd[1], odd[5], odd[6]]]
+    want = Counter()
+    for i, x in all_rows[:700:20]:
+        order = sorted(((-int(x @ y), j is None, j or 0) for j, y in all_rows if j != i))[:20]
+        want.update((i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(order))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert kd_search.top_k(df.limit(0), df).count() == kd_search.top_k(df, df.limit(0)).count() == 0
+
+
+def test_kd_tree_splits_and_prunes():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 4)) * 60
+    points = np.floor(centres[rng.integers(0, 30, 20_000)] + rng.normal(size=(20_000, 4)))
+    tree = kd_search.Tree(points, np.arange(20_000))
+    assert sum(x is not None for x in tree.kids) > 200
+    touched = []
+
+    class Seen(np.ndarray):
+        def __matmul__(self, other):
+            touched.append(len(self))
+            return np.asarray(self) @ other
+
+    tree.points = tree.points.view(Seen)
+    got = kd_search.search(tree, points[:50], np.arange(50), np.full(50, -np.inf), 20)
+    for i, (scores, _) in enumerate(got):
+        assert scores.tolist() == sorted(np.delete(points @ points[i], i).tolist(), reverse=True)[:20]
+    assert sum(touched) < 0.2 * 50 * len(points)
+    splits = kd_search.cuts(points[:2000], 16)
+    cell = kd_search.cells(points, splits)
+    assert set(cell) == set(range(16)) and np.bincount(cell).max() < 0.15 * len(points)
 
 
 def test_pipeline(spark):
