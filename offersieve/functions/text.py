@@ -12,32 +12,36 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters whose canonical decomposition is a base letter and marks.
-_MARKED = [c for c in map(chr, range(0xC0, 0x180)) if (d := unicodedata.normalize("NFKD", c.lower())) and len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
-MARKED, PLAIN = "".join(_MARKED), "".join(unicodedata.normalize("NFKD", c.lower())[0] for c in _MARKED)
+def fold_py(text: str) -> str:
+    """Compatibility composition, case folding, and no combining marks."""
+    x = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
+    return "".join(c for c in x if not unicodedata.combining(c))
+
+
+_FOLDED = {c: fold_py(c) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))}
+#: Characters that fold to one ASCII character, those that fold to nothing (marks), and Latin letters and ligatures that
+#: fold to several letters.
+MARKED = "".join(c for c, x in _FOLDED.items() if len(x) == 1 and x.isascii()) + "".join(c for c, x in _FOLDED.items() if not x)
+PLAIN = "".join(x for x in _FOLDED.values() if len(x) == 1 and x.isascii())
+LIGATURES = {c: x for c, x in _FOLDED.items() if len(x) > 1 and any(a.isascii() and a.isalpha() for a in x) and (c < "\u0250" or c in "\u1e9e\u2116\u2122" or "\ufb00" <= c <= "\ufb06")}
 
 # Connector words that carry no meaning of their own.
 CONNECTORS = ["and", "com", "da", "das", "de", "do", "dos", "em", "for", "na", "nas", "no", "nos", "of", "para", "por", "sem", "the", "with"]
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, for text in ASCII and Latin letters with marks."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)
+    """Lower case without accents. Composed, decomposed, full-width and styled letters and the ligatures of Latin type fold
+    to ASCII; of other signs that stand for several letters (Roman numerals, units) see `fold_any`."""
+    x = F.lower(text)
+    for c, to in LIGATURES.items():
+        if c == c.lower():
+            x = F.replace(x, F.lit(c), F.lit(to))
+    return F.translate(x, MARKED, PLAIN)
 
 
 def fold_any(text: Column) -> Column:
-    """The same for any Unicode text: compatibility composition, case folding, and no combining marks. Slower."""
-
-    def one(values):
-        def of(x):
-            if x is None:
-                return None
-            x = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", x).casefold())
-            return "".join(c for c in x if not unicodedata.combining(c))
-
-        return values.map(of, na_action="ignore")
-
-    return F.pandas_udf(one, "string")(text)
+    """The same for any Unicode text, in Python."""
+    return F.pandas_udf(lambda values: values.map(fold_py, na_action="ignore"), "string")(text)
 
 
 def normalize(text: Column, fold_with=fold) -> Column:
@@ -45,7 +49,7 @@ def normalize(text: Column, fold_with=fold) -> Column:
     x = fold_with(F.coalesce(text, F.lit("")))
     x = F.regexp_replace(x, r"https?://[^\s<>]+", " url ")
     x = F.regexp_replace(x, r"(\d{1,3}(?:[.,]\d+)?)\s*%", " $1 percent ")
-    x = F.regexp_replace(F.regexp_replace(x, r"us\$|usd", " usd "), r"r\$", " brl ")
+    x = F.regexp_replace(F.regexp_replace(x, r"r\$\s*", " brl "), r"\bus\$|\busd\b", " usd ")
     # what is not [a-z0-9_.,], and then not [a-z0-9_.]: Java takes ten times longer for the negated classes
     x = F.regexp_replace(x, r"[\x00-+\-/:-^`{-\x{10FFFF}]+", " ")
     x = F.regexp_replace(x, r"(?<=\d),(?=\d)", ".")
@@ -71,10 +75,11 @@ def significant_of(normal: Column) -> Column:
 
 def normal_py(text: str) -> str:
     """`normalize` for the few values of a rule or a profile, on the driver."""
-    x = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
-    x = "".join(c for c in x if not unicodedata.combining(c))
-    x = re.sub(r"[^a-z0-9_.]+", " ", x)
-    return x.strip()
+    x = re.sub(r"https?://[^\s<>]+", " url ", fold_py(text))
+    x = re.sub(r"([0-9]{1,3}(?:[.,][0-9]+)?)\s*%", r" \1 percent ", x)
+    x = re.sub(r"\bus\$|\busd\b", " usd ", re.sub(r"r\$\s*", " brl ", x), flags=re.ASCII)
+    x = re.sub(r"(?<=[0-9]),(?=[0-9])", ".", re.sub(r"[^a-z0-9_.,]+", " ", x))
+    return re.sub(r"[^a-z0-9_.]+", " ", x).strip()
 
 
 def significant_py(text: str) -> list[str]:
@@ -115,21 +120,32 @@ def offer_price(text: Column) -> Column:
     return F.when(free, F.lit(None).cast("decimal(18,2)")).when(whole, parse_price(t)).otherwise(parse_price(amount))
 
 
-def stated_discount(text: Column) -> Column:
-    """The first percentage next to a word for a discount, above 0 and at most 100."""
+def stated_discount(normal: Column) -> Column:
+    """From normal text, the first percentage next to a word for a discount, above 0 and at most 100."""
     # The two forms, number last or number first.
-    form = r"\b(?:desconto|discount|off|economize)\b[^\d]{0,12}(\d{1,3}(?:[.,]\d+)?)\s*(?:%|percent)|(\d{1,3}(?:[.,]\d+)?)\s*(?:%|percent)\s*(?:de\s+)?(?:desconto|discount|off)\b"
-    low = fold(text)
-    either = F.coalesce(F.nullif(F.regexp_extract(low, form, 1), F.lit("")), F.nullif(F.regexp_extract(low, form, 2), F.lit("")))
+    form = r"\b(?:desconto|discount|off|economize)\b[^\d]{0,12}(\d{1,3}(?:[.,]\d+)?)\s*(?:%|percent)\b|(\d{1,3}(?:[.,]\d+)?)\s*(?:%|percent)\s*(?:de\s+)?(?:desconto|discount|off)\b"
+    either = F.coalesce(F.nullif(F.regexp_extract(normal, form, 1), F.lit("")), F.nullif(F.regexp_extract(normal, form, 2), F.lit("")))
     n = F.replace(either, F.lit(","), F.lit(".")).try_cast("double")
     return F.when((n > 0) & (n <= 100), n)
 
 
+def _decoded(x: Column) -> Column:
+    plus = F.replace(x, F.lit("+"), F.lit(" "))
+    return F.coalesce(F.try_url_decode(F.replace(plus, F.lit(" "), F.lit("%20"))), plus)
+
+
+def _encoded(x: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no trailing slash, fragment or tracking parameter; the order of the others stays."""
+    """Lower-case scheme and host, no trailing slash, fragment or tracking parameter; the order of the others stays, and
+    each is written as key=value, encoded anew. Space around goes, and null is empty."""
+    url = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s+|\s+$", "")
     part = lambda g: F.regexp_extract(url, r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", g)
-    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(p).rlike(r"^(?:utm_[^=]*|fbclid|gclid|ref|referrer|source)(?:=|$)"))
-    query = F.array_join(kept, "&")
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), _decoded(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise(F.lit("")).alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).rlike(r"^(?:utm_[\s\S]*|fbclid|gclid|ref|referrer|source)$"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     path = F.regexp_replace(part(3), r"/+$", "")
     head = F.when(part(1) != "", F.concat(F.lower(part(1)), F.lit("://"))).otherwise(F.lit(""))
     return F.concat(head, F.lower(part(2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))

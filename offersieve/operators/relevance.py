@@ -93,9 +93,9 @@ def exclusion(sig: Column, exclusions: list[str], aliases: dict[str, list[str]])
     return out
 
 
-def exceptional_reason(source: Column, temperature: Column, norm: Column, raw: Column, threshold: int = 300) -> Column:
+def exceptional_reason(source: Column, temperature: Column, norm: Column, threshold: int = 300) -> Column:
     """Heat at its one source, then a phrase, then a discount of more than half."""
-    discount = X.stated_discount(raw)
+    discount = X.stated_discount(norm)
     out = F.when((F.lower(source) == HEAT_SOURCE) & (temperature >= threshold), F.concat(F.lit(HEAT_REASON), temperature.cast("string")))
     for p in EXCEPTIONAL:
         out = out.when(norm.contains(p), F.lit(f"explicit_phrase:{p}"))

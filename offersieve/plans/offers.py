@@ -53,7 +53,7 @@ def _list(xs: list[str]) -> str:
 
 def sql_norm(t: str) -> str:
     x = f"strip_accents(replace(lower(coalesce({t}, '')), 'ß', 'ss'))"
-    for pattern, to in ((r"https?://[^\s<>]+", " url "), (r"([0-9]{1,3}(?:[.,][0-9]+)?)\s*%", r" \1 percent "), (r"us\$|usd", " usd "), (r"r\$", " brl "), (r"[^a-z0-9_.,]+", " "), ("([0-9]),([0-9])", r"\1.\2"), ("([0-9]),([0-9])", r"\1.\2"), (r"[^a-z0-9_.]+", " "), (" +", " ")):
+    for pattern, to in ((r"https?://[^\s<>]+", " url "), (r"([0-9]{1,3}(?:[.,][0-9]+)?)\s*%", r" \1 percent "), (r"r\$\s*", " brl "), (r"\bus\$|\busd\b", " usd "), (r"[^a-z0-9_.,]+", " "), ("([0-9]),([0-9])", r"\1.\2"), ("([0-9]),([0-9])", r"\1.\2"), (r"[^a-z0-9_.]+", " "), (" +", " ")):
         x = f"regexp_replace({x}, {_q(pattern)}, {_q(to)}, 'g')"
     return f"trim({x})"
 
@@ -184,16 +184,16 @@ def exclusion_match(spark, sf_dir):
     return _sig(spark, sf_dir).select("doc_id", R.exclusion(F.col("sig"), EXCLUSIONS, ALIASES).alias("excluded"))
 
 
-_DISCOUNT1 = r"\b(?:desconto|discount|off|economize)\b[^0-9]{0,12}([0-9]{1,3}(?:[.,][0-9]+)?)\s*(?:%|percent)|([0-9]{1,3}(?:[.,][0-9]+)?)\s*(?:%|percent)\s*(?:de\s+)?(?:desconto|discount|off)\b"
-_FOLDED = "strip_accents(replace(lower(text), 'ß', 'ss'))"
+_DISCOUNT1 = r"\b(?:desconto|discount|off|economize)\b[^0-9]{0,12}([0-9]{1,3}(?:[.,][0-9]+)?)\s*(?:%|percent)\b|([0-9]{1,3}(?:[.,][0-9]+)?)\s*(?:%|percent)\s*(?:de\s+)?(?:desconto|discount|off)\b"
+_CUT = f"try_cast(replace(coalesce(nullif(regexp_extract(norm, {_q(_DISCOUNT1)}, 1), ''), nullif(regexp_extract(norm, {_q(_DISCOUNT1)}, 2), '')), ',', '.') AS DOUBLE)"
 _PHRASES = " ".join(f"WHEN contains(norm, {_q(p)}) THEN {_q('explicit_phrase:' + p)}" for p in R.EXCEPTIONAL)
 
 
-@query(f"WITH a AS (SELECT doc_id AS id, source, 0 AS temperature, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_q(s)}, {t}, {_q(x)})' for i, s, t, x in OFFERS)})), n AS (SELECT *, {sql_norm('text')} AS norm, try_cast(replace(coalesce(nullif(regexp_extract({_FOLDED}, {_q(_DISCOUNT1)}, 1), ''), nullif(regexp_extract({_FOLDED}, {_q(_DISCOUNT1)}, 2), '')), ',', '.') AS DOUBLE) AS cut FROM a) SELECT id, CASE WHEN lower(source) = 'pelando' AND temperature >= 300 THEN 'pelando_temperature:' || temperature {_PHRASES} WHEN cut > 50 AND cut <= 100 THEN 'stated_discount:' || regexp_replace(cut::VARCHAR, '\\.0$', '') || '%' END AS reason FROM n")
+@query(f"WITH a AS (SELECT doc_id AS id, source, 0 AS temperature, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {_q(s)}, {t}, {_q(x)})' for i, s, t, x in OFFERS)})), m AS (SELECT *, {sql_norm('text')} AS norm FROM a), n AS (SELECT *, {_CUT} AS cut FROM m) SELECT id, CASE WHEN lower(source) = 'pelando' AND temperature >= 300 THEN 'pelando_temperature:' || temperature {_PHRASES} WHEN cut > 50 AND cut <= 100 THEN 'stated_discount:' || regexp_replace(cut::VARCHAR, '\\.0$', '') || '%' END AS reason FROM n")
 def exceptional_offers(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit(0).alias("temperature"), "text")
     a = docs.unionAll(spark.createDataFrame(OFFERS, "id long, source string, temperature int, text string")).withColumn("norm", X.normalize(F.col("text")))
-    return a.select("id", R.exceptional_reason(F.col("source"), F.col("temperature"), F.col("norm"), F.col("text")).alias("reason"))
+    return a.select("id", R.exceptional_reason(F.col("source"), F.col("temperature"), F.col("norm")).alias("reason"))
 
 
 def sql_price(t: str) -> str:
@@ -219,14 +219,17 @@ _BESIDE = r"(?i)((?:r\$|brl|us\$|usd|\$)\s*[0-9][0-9.,\s]*|\bpor\s+(?:apenas\s+)
 _AFTER = r"(?i)\bde\b[^\n]{0,80}?\bpor\b([^\n]{0,80})"
 
 
-@query(f"WITH v AS (SELECT id, text, nullif(regexp_extract(text, {_q(_AFTER)}, 1), '') AS a, nullif(regexp_extract(text, {_q(_BESIDE)}, 1), '') AS b FROM {_values(STATED)}) SELECT id, coalesce({sql_price('a')}, {sql_price('b')})::DOUBLE AS price FROM v")
+@query(f"WITH v AS (SELECT id, text, nullif(regexp_extract(text, {_q(_AFTER)}, 1), '') AS a, nullif(regexp_extract(text, {_q(_BESIDE)}, 1), '') AS b FROM (SELECT * FROM {_values(STATED)} UNION ALL SELECT doc_id + 1000, text FROM documents)) SELECT id, coalesce({sql_price('a')}, {sql_price('b')})::DOUBLE AS price FROM v")
 def stated_price(spark, sf_dir):
-    return _literals(spark, STATED).select("id", X.stated_price(F.col("text")).cast("double").alias("price"))
+    docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), "text")
+    return _literals(spark, STATED).unionAll(docs).select("id", X.stated_price(F.col("text")).cast("double").alias("price"))
 
 
 _URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
-_PART = lambda g: f"regexp_extract(url, {_q(_URL)}, {g})"
-_KEPT = f"array_to_string(list_filter(string_split({_PART(4)}, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|ref|referrer|source)(=|$)')), '&')"
+_PART = lambda g: f"regexp_extract(trim(coalesce(url, ''), chr(32) || chr(9) || chr(10) || chr(13)), {_q(_URL)}, {g})"
+_CODED = lambda x: f"replace(url_encode(url_decode(replace({x}, '+', ' '))), '%20', '+')"
+_KEY, _VALUE = "string_split(x, '=')[1]", "regexp_replace(x, '^[^=]*=?', '')"
+_KEPT = f"array_to_string(list_transform(list_filter(string_split({_PART(4)}, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(url_decode({_KEY})), '^(utm_.*|fbclid|gclid|ref|referrer|source)$')), lambda x: {_CODED(_KEY)} || '=' || {_CODED(_VALUE)}), '&')"
 SQL_URL = f"CASE WHEN {_PART(1)} <> '' THEN lower({_PART(1)}) || '://' ELSE '' END || lower({_PART(2)}) || regexp_replace({_PART(3)}, '/+$', '') || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
 
 
@@ -424,30 +427,35 @@ def accessory_gate(spark, sf_dir):
     return p.select("p_partkey", R.accessory_gate(F.array(F.lit("ssd")), X.tokens(X.normalize(F.col("p_type"))), F.col("p_size") > 10).alias("passes"))
 
 
-REPLAY = dict.fromkeys(["of", "the", "und", "que", "ing"], 1.0)
+#: The profile, with aliases drawn together as in the documents.
+REPLAY = dict.fromkeys(X.canonical_py(["of", "the", "und", "que", "ing"], GROUPS), 1.0)
 
 
 def sql_replay() -> str:
-    return f"""WITH {DOCS}, l AS (SELECT d.*, quality = 1 AS relevant, doc_id > min(doc_id) OVER (PARTITION BY norm) AS dup, {sql_rules('tokens')} AS rule FROM d JOIN labels USING (doc_id)),
-    k AS (SELECT *, NOT dup AND coalesce(NOT starts_with(rule, 'rule_deny:'), true) AND NOT regexp_matches(norm, {_q(_RUNS)}) AND NOT (regexp_matches(norm, {_q(R.CHATTER[0])}) OR regexp_matches(norm, {_q(R.CHATTER[1])})) AND regexp_matches(norm, '[a-z0-9]') AS passed FROM l),
-    p AS (SELECT * FROM k WHERE passed), {sql_stats(REPLAY, 'sig', 'p')},
-    v AS (SELECT relevant, passed AND ({sql_bm25(REPLAY, 'sig')}) >= 0.5 AS kept FROM k, s)
-    SELECT count(*) AS n, sum(CASE WHEN relevant THEN 1 ELSE 0 END)::BIGINT AS relevant, sum(CASE WHEN relevant AND kept THEN 1 ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT relevant AND NOT kept THEN 1 ELSE 0 END)::BIGINT AS rejected,
+    return f"""WITH {CANON}, l AS (SELECT c.*, quality = 1 AS relevant, doc_id > min(doc_id) OVER (PARTITION BY norm) AS dup, {sql_rules('tokens')} AS rule, {_CUT} AS cut, len(regexp_extract_all(lower(text), 'https?://')) > 4 AS linked FROM c JOIN labels USING (doc_id)),
+    k AS (SELECT *, coalesce(CASE {_PHRASES} ELSE CASE WHEN cut > 50 AND cut <= 100 THEN 'cut' END END, '') <> '' AS exceptional, NOT dup AND NOT linked AND coalesce(NOT starts_with(rule, 'rule_deny:'), true) AND NOT regexp_matches(norm, {_q(_RUNS)}) AND NOT (regexp_matches(norm, {_q(R.CHATTER[0])}) OR regexp_matches(norm, {_q(R.CHATTER[1])})) AND regexp_matches(norm, '[a-z0-9]') AS passed FROM l),
+    p AS (SELECT * FROM k WHERE passed), {sql_stats(REPLAY, 'canon', 'p')},
+    v AS (SELECT relevant, passed AND (exceptional OR ({sql_bm25(REPLAY, 'canon')}) >= 0.5) AS kept FROM k, s)
+    SELECT *, rejection_rate >= 0.9 AND retention_rate >= 0.95 AS passed FROM (SELECT count(*) AS n, sum(CASE WHEN relevant THEN 1 ELSE 0 END)::BIGINT AS relevant, sum(CASE WHEN relevant AND kept THEN 1 ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT relevant AND NOT kept THEN 1 ELSE 0 END)::BIGINT AS rejected,
     round(coalesce(sum(CASE WHEN NOT relevant AND NOT kept THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN NOT relevant THEN 1 ELSE 0 END), 0), 1), 4) AS rejection_rate,
-    round(coalesce(sum(CASE WHEN relevant AND kept THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN relevant THEN 1 ELSE 0 END), 0), 1), 4) AS retention_rate FROM v"""
+    round(coalesce(sum(CASE WHEN relevant AND kept THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN relevant THEN 1 ELSE 0 END), 0), 1), 4) AS retention_rate FROM v)"""
 
 
 @query(sql_replay())
 def replay_metrics(spark, sf_dir):
-    """Offline replay: prefilter, corpus of what passes, BM25 of the profile, confusion counts; one pass over the texts."""
+    """Offline replay: prefilter, corpus of what passes, exceptional offers kept, BM25 of the profile over canonical tokens
+    for the others, confusion counts; one pass over the texts."""
     labels = _read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant"))
     fine = R.fixed_reason(F.col("norm"), F.col("text")).isNull() & ~F.coalesce(R.rule_reason(F.col("tokens"), RULES).startswith("rule_deny:"), F.lit(False))
-    small = R.held(_sig(spark, sf_dir).select("doc_id", F.sha2("norm", 256).alias("h"), fine.alias("fine"), F.size("sig").alias("len"), X.term_counts(F.col("sig"), list(REPLAY)).alias("tf")).join(labels, "doc_id"))
+    exceptional = R.exceptional_reason(F.col("source"), F.lit(None).cast("int"), F.col("norm")).isNotNull()
+    texts = _sig(spark, sf_dir).withColumn("canon", X.canonical_tokens(F.col("sig"), GROUPS))
+    small = R.held(texts.select("doc_id", F.sha2("norm", 256).alias("h"), fine.alias("fine"), exceptional.alias("exceptional"), F.size("canon").alias("len"), X.term_counts(F.col("canon"), list(REPLAY)).alias("tf")).join(labels, "doc_id"))
     first = small.groupBy("h").agg(F.min("doc_id").alias("first"))
     judged = small.join(first, "h").withColumn("passed", F.col("fine") & (F.col("doc_id") == F.col("first")))
     stats = judged.agg(*R.term_stats(len(REPLAY), F.col("passed")))
     score = R.bm25_of(F.col("len"), {t: F.col("tf")[i] for i, t in enumerate(REPLAY)}, REPLAY, F.col("n"), F.col("avgdl"), {t: F.col(f"df{i}") for i, t in enumerate(REPLAY)})
-    v = judged.join(F.broadcast(stats)).select("relevant", (F.col("passed") & (score >= 0.5)).alias("kept"))
+    v = judged.join(F.broadcast(stats)).select("relevant", (F.col("passed") & (F.col("exceptional") | (score >= 0.5))).alias("kept"))
     out = v.agg(F.count("*").alias("n"), F.count_if("relevant").alias("relevant"), F.count_if(F.expr("relevant AND kept")).alias("kept"), F.count_if(F.expr("NOT relevant AND NOT kept")).alias("rejected"))
     rate = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), b), F.lit(1.0)), 4)
-    return out.withColumns({"rejection_rate": rate("rejected", F.col("n") - F.col("relevant")), "retention_rate": rate("kept", F.col("relevant"))})
+    out = out.withColumns({"rejection_rate": rate("rejected", F.col("n") - F.col("relevant")), "retention_rate": rate("kept", F.col("relevant"))})
+    return out.withColumn("passed", F.expr("rejection_rate >= 0.9 AND retention_rate >= 0.95"))

@@ -13,6 +13,12 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
 
+NORMAL = [
+    ("busdriver US$ 5 usdt USD", "busdriver usd 5 usdt usd"), ("prec\u0327o", "preco"), ("ＳＳＤ １ＴＢ", "ssd 1tb"), ("ﬁm Straße ½", None), ("Ŀ ĲSSEL", None),
+    ("R$50,90 12,5% OFF", "brl 50.90 12.5 percent off"), ("1,2,3 a,b", "1.2.3 a b"), ("", ""), (None, ""),
+]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -22,6 +28,30 @@ def test_normalize(spark):
     assert one(spark, X.fold_any(F.lit("ÁÇ"))) == one(spark, X.fold(F.lit("ÁÇ"))) == "ac"
 
 
+@pytest.mark.parametrize("said, normal", NORMAL)
+def test_normalize_golden(spark, said, normal):
+    got = one(spark, X.normalize(F.lit(said).cast("string")))
+    assert normal is None or got == normal == X.normal_py(said or "")
+    assert got == one(spark, X.normalize(F.lit(said).cast("string"), X.fold_any)) or "½" in said
+
+
+def test_fold_agrees_with_unicode(spark):
+    said = "".join(chr(c) for c in range(0xC0, 0x250)) + " e\u0301 ﬃ Ⓢ ｱ 𝐀 ſ"
+    keep = lambda x: "".join(c for c in x if c.isascii())
+    assert keep(one(spark, X.fold(F.lit(said)))) == keep(X.fold_py(said))
+
+
+@pytest.mark.parametrize("said, cut", [("desconto 60 percentuais", None), ("SSD com 55% de desconto", 55), ("desconto de 60,5%", 60.5), ("off 0%", None), ("discount: 120%", None), ("20% off", 20)])
+def test_stated_discount(spark, said, cut):
+    assert one(spark, X.stated_discount(X.normalize(F.lit(said)))) == cut
+
+
+@pytest.mark.parametrize("said, url", [(" https://a.b/x?a&b=1+2&UTM_x=1&ref=z&c=%C3%A9 ", "https://a.b/x?a=&b=1+2&c=%C3%A9"), ("http://a.b?q=a~b*c%zz", None), (None, ""), ("https://a.b/?a=b=c", "https://a.b?a=b%3Dc")])
+def test_url_query(spark, said, url):
+    got = one(spark, X.canonical_url(F.lit(said).cast("string")))
+    assert url is None and got or got == url
+
+
 @pytest.mark.parametrize("said, price", [("R$ 1.299,90", 1299.9), ("299.90", 299.9), ("R$2.645", 2645), ("R$ 1.234.567", 1234567), ("R$119", 119), ("$12.34", 12.34), (None, None)])
 def test_price(spark, said, price):
     got = one(spark, X.parse_price(F.lit(said).cast("string")))
