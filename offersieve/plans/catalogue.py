@@ -1,6 +1,7 @@
 """All queries of the offer engine, and their SQL."""
 
-from offersieve.plans import control, messages, offers, services
+from offersieve.plans import control, messages, offers, presentation, services
 
-QUERIES = {**offers.QUERIES, **services.QUERIES, **messages.QUERIES, **control.QUERIES}
-ORACLE = {**offers.ORACLE, **services.ORACLE, **messages.ORACLE, **control.ORACLE}
+PARTS = (offers, services, messages, control, presentation)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
