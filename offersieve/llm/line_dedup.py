@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -32,26 +33,24 @@ from offersieve.llm.common import materialize, row_hash, same_row
 UNIT_SCHEMA = "row long, rank long, at int, d1 long, d2 long"
 SEPARATORS = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n"}
 SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PASSAGE_WORDS = 25
 #: A digest with more than this share of all repeated occurrences meets them by broadcast; so there are fewer than 1 / HOT.
 HOT = 1e-4
 
 
-def units(text: str, sep: re.Pattern) -> Iterator[tuple[int, int, int, str]]:
-    """start, end, number of words and normal form of each line with a word, each followed by its sentences (if it has
-    more than one), which have their start's complement for a start."""
+def units(text: str, sep: re.Pattern) -> Iterator[tuple[int, int, list[bytes]]]:
+    """start, end and the normal words of each line with a word, each followed by its sentences (if it has more than one),
+    which have their start's complement for a start. Bytes lower only A-Z and split only at ASCII white space."""
+    low = text.encode().lower().decode()
     begin = 0
-    for found in sep.finditer(text):
-        line = text[begin : found.start()]
-        words = WORD.findall(line.translate(_LOWER))
-        if words:
-            yield begin, found.start(), len(words), " ".join(words)
-            parts = [(m.span(), w) for m in SENTENCE.finditer(line) if (w := WORD.findall(m[0].translate(_LOWER)))]
+    for found in sep.finditer(low):
+        line = low[begin : found.start()]
+        if words := line.encode().split():
+            yield begin, found.start(), words
+            parts = [(m.start(), m.end(), w) for m in SENTENCE.finditer(line) if (w := m[0].encode().split())]
             if len(parts) > 1:
-                for (s, e), w in parts:
-                    yield ~(begin + s), begin + e, len(w), " ".join(w)
+                for s, e, w in parts:
+                    yield ~(begin + s), begin + e, w
         begin = found.end()
 
 
@@ -63,31 +62,31 @@ def digests(docs: DataFrame, text: str = "text", rank: str = "doc_id", kind: str
     """A row for each unit: its number in the text and the 128-bit digest of its normal form. A line that is one sentence
     is hashed once; sentences of lines and lines share one space of digests, so that either can be the earlier one."""
     sep = separator(kind)
-    names, types = zip(*(x.split() for x in UNIT_SCHEMA.split(", ")), strict=True)
-    types = [{"long": pa.int64(), "int": pa.int32()}[t] for t in types]
+    names = [x.split()[0] for x in UNIT_SCHEMA.split(", ")]
+
+    def table(batch: pa.RecordBatch, texts: list[int], sizes: list[int], found: list[bytes]) -> pa.RecordBatch:
+        take, n = pa.array(np.repeat(texts, sizes).astype(np.int64)), np.array(sizes, np.int64)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        d = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            # a text at a time, so that a batch of long ones is never held as units whole
-            cols: list[list[int]] = [[], [], [], [], []]
-            for row, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, (_, _, _, form) in enumerate(units(body or "", sep)):
-                    digest = xxhash.xxh3_128_intdigest(form.encode("utf-8", "surrogatepass"))
-                    for c, v in zip(cols, (row, at, i, _signed(digest >> 64), _signed(digest)), strict=True):
-                        c.append(v)
-                if len(cols[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
-                    cols = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
+            texts, sizes, found = [], [], []
+            for i, body in enumerate(batch.column(2)):
+                before = len(found)
+                found += [digest(b" ".join(words)) for _, _, words in units(body.as_py() or "", sep)]
+                texts.append(i)
+                sizes.append(len(found) - before)
+                if len(found) >= 50_000:
+                    yield table(batch, texts, sizes, found)
+                    texts, sizes, found = [], [], []
+            yield table(batch, texts, sizes, found)
 
     return docs.select(row_hash(rank, text).alias("row"), F.col(rank).cast("long").alias("rank"), F.col(text).alias("text")).mapInArrow(split, UNIT_SCHEMA)
 
 
-def _signed(x: int) -> int:
-    x &= (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
-
-
 def repeated(spread: DataFrame) -> DataFrame:
     """A row a document that has any: rank, row, and the numbers of its units that occurred before, sorted.
 
@@ -120,7 +119,7 @@ def judge(text: str, again: list[int], sep: re.Pattern, least: int) -> tuple[lis
         run.clear()
 
     found = list(enumerate(units(text, sep)))
-    for k, (i, (s, e, n, _)) in enumerate(found):
+    for k, (i, (s, e, w)) in enumerate(found):
         if s >= 0:
             inside = i if i in before else -1
             if inside >= 0:
@@ -128,7 +127,7 @@ def judge(text: str, again: list[int], sep: re.Pattern, least: int) -> tuple[lis
             if k + 1 < len(found) and found[k + 1][1][0] < 0:
                 continue  # its sentences follow
         if i in before:
-            run.append((~s if s < 0 else s, e, n, s < 0 and inside < 0))
+            run.append((~s if s < 0 else s, e, len(w), s < 0 and inside < 0))
         else:
             close()
     close()
