@@ -5,7 +5,8 @@ A turn is  START role \\n text END \\n . Its contents are encoded as ordinary te
 id; in the written form `<|` becomes `<\\|`, and one more backslash is added to a `<\\|` that was there.
 
 Defined results: a null text or role is empty; turns go by number, null first, ties by role and text; repeated rows are
-turns of their own; a null conv_id is a conversation; an empty table gives no conversations.
+turns of their own; a null conv_id is a conversation; an empty table gives no conversations; a very long text is one turn's work. Columns other
+than conv_id, turn, role and text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ MOST_SHARDS, a few thousand boxes.
 Defined results: vectors that are null, or hold a null or a component that is not finite, take no part; a vector shorter
 than the longest counts as zero beyond its end; other rows with the query's own id are no candidates; of repeated rows
 each is a candidate; ties go to the smaller id, null last; a query with fewer than k candidates has fewer rows; scores
-are exact while they fit a long.
+are exact while they fit a long. An empty table, or no queries, gives no rows; columns other than vec_id and embedding
+play no part, whatever their names.
 """
 
 from __future__ import annotations

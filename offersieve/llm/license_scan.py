@@ -3,7 +3,8 @@ settle overlapping detections by priority. DataFrame functions only; no shuffle,
 
 Defined results: a null text counts as empty (no words, no labels, score 0); a detection within another one of the same
 or a higher priority goes, and of equal intervals and priorities the smaller label stays; base labels always stay;
-repeated rows give repeated results; other columns pass through `scan` (its own begin with `c_`).
+repeated rows give repeated results; an empty table gives no rows; a very long text is one row's work. Other columns pass
+through `scan`, whatever their names; one that is named like a result of it gives way to the result.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from offersieve.llm.license_rules import AFTER, BEFORE, GAP, GATE, rules
 
+RESULTS = ["c_words", "c_base", "c_first", "c_last", "c_base_labels", "c_spans", "c_score", "c_labels"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of the text before A-Z become lower case: the same runs. Java is some 30 times slower with the negated class.
 RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -64,7 +66,9 @@ def _uncontained(found: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with c_words, c_base (places), c_first, c_last, c_base_labels, c_labels, c_score and c_spans (kept detections:
     start, end in code points of the text, priority, label)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    others = [c for c in docs.columns if c.lower() not in RESULTS]
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("c_doc"), F.col(text).alias("c_text"))
+    t = F.coalesce(F.col("c_text"), F.lit(""))
     loose = F.lower(t)  # only for the gates, which may let more through than they must
     has = lambda *words: F.col("c_loose").contains(words[0]) if len(words) == 1 else has(words[0]) & has(*words[1:])
     base_gate = (has("cc") & has("by") & F.col("c_loose").rlike(f"cc{GAP}by")) | has("general", "public", "license") | has("all", "rights", "reserved")
@@ -98,7 +102,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     top = F.coalesce(F.array_max(F.transform(spans, lambda d: d["priority"])), F.lit(0))
     step = step.withColumns({"c_base_labels": base, "c_spans": spans, "c_score": F.greatest(top / 3.0, F.when(some, F.lit(0.5)).otherwise(F.lit(0.0)))})
     both = F.array_union("c_base_labels", F.transform("c_spans", lambda d: d["label"]))
-    return step.withColumns({
+    step = step.withColumns({
         "c_labels": F.array_join(F.array_sort(F.array_distinct(both)), ","),
         "c_base_labels": F.array_join(F.array_sort("c_base_labels"), ","),
-    }).drop("c_in", "c_in_base", "c_low", "c_tried")
+    })
+    return step.select(*(F.col(f"c_doc.`{c}`") for c in others), *RESULTS)

@@ -6,7 +6,8 @@ rest takes the first blocks of the seeded permutation, and the block in which it
 
 Defined results: sources are ordered by code point, null last, and weigh 1, 2, 3, repeating (or as given); a null or
 empty text has size 0 and adds no words; a source without words has target 0; equal rows are interchangeable; an empty
-table gives no rows. Every choice is a hash of seed, source and row, so reruns and lost tasks agree.
+table gives no rows; a very long text is one row's count. Kept columns pass through, whatever their names, but for one
+named like a result, which gives way to the result. Every choice is a hash of seed, source and row, so reruns and lost tasks agree.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from offersieve.llm.common import hold, materialize, row_hash
 from offersieve.llm.packing import word_count
 
 BLOCKS = 1024
+RESULTS = ("m_size", "m_source_size", "m_target", "m_passes", "m_block", "m_shards", "m_orders")
 MAX_PASSES = 3
 
 
@@ -77,7 +79,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple
     by (source, block), of which a source with a third of all rows has BLOCKS.
     """
     block = F.pmod(F.xxhash64(F.lit(seed), "m_row"), F.lit(BLOCKS)).cast("int")
-    sized = docs.select(*keep, F.col(source).alias("m_source"), row_hash("doc_id", text).alias("m_row"), word_count(F.col(text)).alias("m_size")).withColumn("m_block", block)
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("m_doc")
+    sized = docs.select(whole_row, F.col(source).alias("m_source"), row_hash("doc_id", text).alias("m_row"), word_count(F.col(text)).alias("m_size")).withColumn("m_block", block)
     sized = hold(sized)
     blocks = materialize(sized.groupBy("m_source", "m_block").agg(F.sum("m_size").alias("b_size")))
     totals = blocks.groupBy("m_source").agg(F.sum("b_size").alias("s_size"), F.count("*").alias("s_blocks")).limit(100_001).collect()
@@ -122,7 +125,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", keep: tuple
     draws = F.transform(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)), lambda k: k * F.col("p_blocks") + F.col("p_no") - 1)
     shard_of = F.transform(F.slice(draws, F.lit(1), F.col("m_passes")), lambda d: F.size(F.filter("e_ends", lambda e: e <= d)))
     order_of = F.transform(F.slice(draws, F.lit(1), F.col("m_passes")), lambda d: F.xxhash64(F.lit(seed + 3), d, "m_row"))
-    return out.select(*keep, "m_size", "m_source_size", "m_target", "m_passes", "m_block", shard_of.alias("m_shards"), order_of.alias("m_orders"))
+    others = (F.col(f"m_doc.`{c}`") for c in keep if c.lower() not in RESULTS)
+    return out.select(*others, "m_size", "m_source_size", "m_target", "m_passes", "m_block", shard_of.alias("m_shards"), order_of.alias("m_orders"))
 
 
 def write_order(mixed: DataFrame, shards: int = 64) -> DataFrame:

@@ -2,7 +2,8 @@
 minimise padding; batches of a token budget form inside each bucket.
 
 Defined results: a null or empty text has length 0 and goes to the first bucket; an empty table gives no rows; repeated
-rows are packed one by one; ties are broken by row hash. A document longer than the budget is a batch of its own.
+rows are packed one by one; ties are broken by row hash. A document longer than the budget is a batch of its own; a very
+long text is one row's count. Columns other than doc_id and the text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 and host verdicts are joined back to documents. DataFrame functions only.
 
 Defined results: a null text counts as empty (no word, so it fails the base rule); a null host is a host of its own; an
-empty table gives no rows; repeated rows are judged row by row; other columns of the input, whatever their names, pass
-through `judge` unchanged (the operator's own columns are prefixed by `q_` until the query selects them).
+empty table gives no rows; repeated rows are judged row by row; a very long text is one row's work; kept columns pass
+through `judge` unchanged, whatever their names, but for one named like a result of it, which gives way to the result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ RULES = ("short", "repeat", "symbol", "dup_line")
 
 
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with q_words, q_word_chars, q_symbols, q_lines, q_dup_lines and q_repeat_words (long)."""
+    """docs, which have no columns of such names, with q_words, q_word_chars, q_symbols, q_lines, q_dup_lines and q_repeat_words (long)."""
     t = F.coalesce(F.col(text), F.lit(""))
     # Each array is a column before a lambda refers to it, so that it is built once a row and not once an element.
     step = docs.withColumns({
@@ -109,9 +109,11 @@ def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source",
     decides by its measured size, and splits a hot host's partition otherwise.
     """
     measures = ["q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words"]
-    made = hold(with_metrics(docs, text).select(*keep, F.col(host).alias("q_source"), *measures))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("q_doc"), F.col(host).alias("q_source"), F.col(text).alias("q_text"))
+    made = hold(with_metrics(packed, "q_text").select("q_doc", "q_source", *measures))
     verdicts = host_verdicts(made, rules, "q_source")
     fails = failures(rules)
     base = fails["short"] | fails["repeat"]
     out = made.join(verdicts, F.col("q_source").eqNullSafe(F.col("q_host")), "left")
-    return out.withColumns({"q_base_failed": base, "q_kept": ~base & F.coalesce("host_ok", F.lit(True))}).drop("q_host", "host_ok", "n", "q_source")
+    verdict = [base.alias("q_base_failed"), (~base & F.coalesce("host_ok", F.lit(True))).alias("q_kept")]
+    return out.select(*(F.col(f"q_doc.`{c}`") for c in keep if c.lower() not in {*measures, "q_base_failed", "q_kept"}), *measures, *verdict)
