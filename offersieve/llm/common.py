@@ -45,7 +45,7 @@ def hold(df: DataFrame) -> DataFrame:
     """df, computed once: blocks stay on the executors' disks, none in their heaps, and those of a lost executor are made
     again from the input. For tables made straight from an input; deeper ones are materialized."""
     df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
+    df._rows = df.count()
     return df
 
 
@@ -73,7 +73,7 @@ def materialize(df: DataFrame, rows: int = FILE_ROWS) -> DataFrame:
 
 
 def rows_of(table: DataFrame) -> int:
-    """How many rows a materialized table has."""
+    """How many rows a held or materialized table has."""
     return table._rows
 
 
@@ -85,6 +85,27 @@ def release(df: DataFrame) -> None:
         df.unpersist()
 
 
+#: Rows of one key that one task joins, at least; a key with more is dealt over several tasks.
+KEY_ROWS = 1 << 15
+
+
+def salted_join(left: DataFrame, right: DataFrame, counts: DataFrame, keys: list[str], n: str, rows: int, spread: list[str]) -> DataFrame:
+    """Inner join on keys, of which right has one row each; counts says in column n how many of left's `rows` rows have
+    them. Keys of more than KEY_ROWS (or a 1024th of the rows, if that is more) are dealt over tasks by the hash of left's
+    `spread` columns, and right's rows for them go to each of those. Under 1024 keys are that frequent, so their hashes
+    come to the driver and are part of the plan; a key that shares such a hash is dealt too, on both sides alike."""
+    limit = max(KEY_ROWS, rows // 1024)
+    hot = counts.filter(F.col(n) > limit).select(F.xxhash64(*keys).alias("h"), n).collect()
+    if not hot:
+        return left.join(right, keys)
+    tasks = -(-max(r[n] for r in hot) // limit)
+    salt = fresh(left, "salt")
+    is_hot = F.xxhash64(*keys).isin([r["h"] for r in hot])
+    dealt = left.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(tasks)).cast("int")).otherwise(0))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(tasks - 1)).otherwise(0))))
+    return dealt.join(copies, [*keys, salt]).drop(salt)
+
+
 def row_hash(*columns: Column | str) -> Column:
     """64 bits of a row's identity: the same for repeated rows, and stable when a lost task runs again. Rows are told apart
     by their id and this, see same_row."""

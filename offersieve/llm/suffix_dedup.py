@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.llm.common import hold, materialize, release, row_hash, same_row
+from offersieve.llm.common import hold, materialize, release, row_hash, rows_of, salted_join, same_row
 from offersieve.llm.shingles import Rolling, pieces, rolling_bytes, rolling_words, text_bytes, word_hashes, word_places
 
 WIDTH = 400
@@ -293,9 +293,9 @@ def _contexts(docs: DataFrame, wanted: DataFrame, text: str, unit: str) -> DataF
 def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, keep_first: bool = False, unit: str = "byte", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """id, row, spans: for each document (by id and row hash) that has any, the sorted stretches of symbols that go."""
     found = hold(_instances(docs, text, width, unit))
-    several = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    several = materialize(found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "lo")
-    shared = materialize(found.join(several, "g").select("row", "lo", "size", "g", "c", order.alias("at")))
+    shared = materialize(salted_join(found, several, several, ["g"], "n", rows_of(found), ["doc_id", "row", "lo"]).select("row", "lo", "size", "g", "c", order.alias("at")))
     release(found)
     groups = materialize(shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("at", "size")).alias("head")).select("g", "c", "n", F.col("head.at").alias("first"), F.col("head.size").alias("size")))
     per = 1 if unit == "byte" else 8
@@ -307,7 +307,7 @@ def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, keep_first:
         solved = solved.union(_by_digests(_contexts(docs, wanted.filter("hot").drop("hot"), text, unit), width, unit, keep_first))
     whole = F.array(F.lit(0), F.col("size"))
     told = groups.join(solved, ["g", "c"], "left").filter("n > 1 OR spans IS NOT NULL").drop("size")
-    hit = shared.join(told, ["g", "c"])
+    hit = salted_join(shared, told, groups, ["g", "c"], "n", rows_of(shared), ["at"])
     own = F.coalesce("spans", F.array().cast("array<int>"))
     if keep_first:
         spans = F.when(F.col("at") == F.col("first"), own).otherwise(whole)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from offersieve.llm import chat_format, kd_search, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_hosts, suffix_dedup
+from offersieve.llm import chat_format, common, kd_search, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_hosts, suffix_dedup
 
 DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -147,6 +147,27 @@ def test_suffix_dedup_keeps_the_first(docs, rows, how):
     assert first == want
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffix_dedup_deals_hot_keys(docs, monkeypatch, keep_first):
+    """Salted or not, the same stretches go."""
+
+    def got():
+        return sorted((str(r.id), r.row, str(r.spans)) for r in suffix_dedup.repeats(docs, width=60, keep_first=keep_first).collect())
+
+    want = got()
+    monkeypatch.setattr(common, "KEY_ROWS", 1)
+    assert want and got() == want
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 10)
+    left = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 3 != 0).cast("int")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 5")
+    joined = common.salted_join(left, right, right, ["k"], "n", 1000, ["id"])
+    assert joined.columns == ["k", "id", "n"]
+    assert sorted(r.id for r in joined.collect()) == sorted(r.id for r in left.filter("k <> 5").collect())
+
+
 def test_suffix_dedup_counts_words_of_passages(docs, rows):
     n = Counter(tuple(w[j : j + 51]) for _, t in rows for w in [(t or "").encode().split()] for j in range(len(w) - 50))
 
