@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from offersieve.llm.chat_format import END, START
-from offersieve.llm.oracle_runs import OP11
+from offersieve.llm.oracle_runs import OP11, OP13
 from offersieve.llm.quality_hosts import RULES, HostRules
 
 _P = HostRules()
@@ -100,4 +100,4 @@ d AS (SELECT u.doc_id, string_agg(CASE WHEN a.i IS NOT NULL THEN '' ELSE coalesc
 SELECT doc_id, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS removed_spans, coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(passage_words, 0)::BIGINT AS passage_words, sha256(kept) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
-ORACLE = {"op1_kd_search": OP1, "op3_near_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": OP7, "op8_quality_hosts": OP8, "op10_suffix_dedup": OP10, "op11_periodic_runs": OP11}
+ORACLE = {"op1_kd_search": OP1, "op3_near_dedup": OP3, "op5_line_dedup": OP5, "op7_chat_format": OP7, "op8_quality_hosts": OP8, "op10_suffix_dedup": OP10, "op11_periodic_runs": OP11, "op13_fingerprints": OP13}

@@ -1,4 +1,5 @@
-"""DuckDB SQL of op11_periodic_runs: pairs of equal words up to a third of the text apart, joined up into stretches."""
+"""DuckDB SQL of op11_periodic_runs, by pairs of equal words up to a third of the text apart, joined up into stretches; and of
+op13_fingerprints."""
 
 #: crc32 by its table of 256 remainders, made from the polynomial.
 _CRC = """z AS (SELECT list(v ORDER BY k) AS tab FROM (SELECT k, list_reduce(list_prepend(k::UBIGINT, list_transform(range(8), lambda x: x::UBIGINT)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS k)))"""
@@ -17,3 +18,21 @@ t AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || ch
 k AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept FROM v ANTI JOIN (SELECT DISTINCT rid, unnest(range(s + q, s + l)) AS i FROM r) USING (rid, i) GROUP BY rid)
 SELECT doc_id::BIGINT AS doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b USING (rid) LEFT JOIN t USING (rid) LEFT JOIN k USING (rid)"""
+
+_LOW = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SKETCH = "list_sort(list_distinct(list_transform(list_filter(list_transform(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END, lambda s: md5(s)), lambda h: h < '2'), lambda h: h[1:12])))"
+
+
+def _prints(table: str, text: str) -> str:
+    return rf"SELECT *, substr(md5(low), 1, 16) || ':' || array_to_string(s, ',') AS p FROM (SELECT *, {_SKETCH} AS s FROM (SELECT *, regexp_extract_all(low, '[^\x20\x09-\x0D]+') AS w FROM (SELECT *, {_LOW.replace('x,', text + ',')} AS low FROM {table})))"
+
+
+_NEAR = "CASE WHEN len({a}) + len({b}) = 0 THEN CASE WHEN substr({p}, 1, 16) = substr({q}, 1, 16) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS ({_prints('d', 't')}),
+n AS (SELECT doc_id, t, s, p, length(t) AS n, coalesce(lead(t) OVER v, first_value(t) OVER v) AS nt, coalesce(lead(s) OVER v, first_value(s) OVER v) AS ns, coalesce(lead(p) OVER v, first_value(p) OVER v) AS np FROM o WINDOW v AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, n, s AS os, p AS op, ns, np, left(t, n - n // 2) || left(nt, n // 2) AS e FROM n),
+x AS ({_prints('e', 'e')})
+SELECT doc_id::BIGINT AS doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256, op AS fingerprint, p AS edited_fingerprint, {_NEAR.format(a='os', b='s', p='op', q='p')} AS near_edited, {_NEAR.format(a='os', b='ns', p='op', q='np')} AS near_next
+FROM x"""

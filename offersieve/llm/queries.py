@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offersieve.llm import chat_format, kd_search, language_id, license_scan, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_hosts, suffix_dedup, token_alignment
+from offersieve.llm import chat_format, fingerprints, kd_search, language_id, license_scan, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_hosts, suffix_dedup, token_alignment
 from offersieve.llm.common import read
 
 
@@ -72,6 +72,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignments(read(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_search, op2_packing, op3_near_dedup, op4_language_id, op5_line_dedup, op6_license_scan, op7_chat_format, op8_quality_hosts, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op12_token_alignment)
+    f.__name__: f for f in (op1_kd_search, op2_packing, op3_near_dedup, op4_language_id, op5_line_dedup, op6_license_scan, op7_chat_format, op8_quality_hosts, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op12_token_alignment, op13_fingerprints)
 }
