@@ -15,8 +15,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0xC2B2AE3D27D4EB4F
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = np.uint64((1 << 31) - 1)
+#: Random points, whose powers run through all residues, of the hash of anchors and of that of whole contexts, two each.
+ANCHOR, WHOLE = (1849842305, 2018595600), (1208042420, 1297780820)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,15 +29,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, by doubling."""
+    """base^0 .. base^(n-1) modulo 2^31 - 1, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
     have, top = 1, base
-    with np.errstate(over="ignore"):
-        while have < n:
-            more = min(have, n - have)
-            out[have : have + more] = out[:more] * np.uint64(top)
-            have += more
-            top = top * top % (1 << 64)
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(top) % _PRIME
+        have += more
+        top = top * top % int(_PRIME)
     return out[:n]
 
 
@@ -52,37 +52,60 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any stretch of symbols in O(1): polynomial prefix sums modulo 2^64 over mixed grams of `gram` symbols,
-    each hash mixed. A plain polynomial over symbols gives a word and its complement in the Thue-Morse order one hash,
-    whatever its base; grams, once mixed, have no such order. A stretch has at least `gram` symbols."""
+    """Hashes of any stretch of symbols in O(1): prefix sums of polynomials over mixed grams of `gram` symbols, modulo the
+    prime 2^31 - 1 at two random points, each over its own bits of the grams. Modulo a power of two every odd base has
+    powers that differ by multiples of large powers of two, and texts in the order of Thue and Morse collide, of bytes as
+    of grams; modulo a prime there is no such order. Two texts of n symbols that differ agree at both points with a chance
+    of at most (n / 2^31)^2. A stretch has at least `gram` symbols."""
 
-    def __init__(self, mixed: np.ndarray, gram: int) -> None:
+    def __init__(self, mixed: np.ndarray, gram: int, points: tuple[int, int]) -> None:
         n = len(mixed)
         self.gram, self.size = gram, n + gram - 1
+        self.sums, self.back = [], []
+        for point, value in zip(points, (mixed >> np.uint64(33), mixed & _PRIME), strict=True):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_fold(value * powers(point, n)), out=sums[1:])  # under 2^32 each, so no sum overflows
+            self.sums.append(sums)
+            self.back.append(powers(pow(point, -1, int(_PRIME)), n + 1))
+
+    def _mixed(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = None
+        for differ, back in parts:
+            r = _fold(_fold(_fold(differ) * back))
+            r = np.where(r >= _PRIME, r - _PRIME, r)
+            out = r if out is None else out << np.uint64(32) | r
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(mixed * powers(_BASE, n), out=self.sums[1:])
-            self.back = powers(_INVERSE, n + 1)
+            return mix64(out)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.sums[end - self.gram + 1] - self.sums[start]) * self.back[start])
+        last = end - self.gram + 1
+        return self._mixed([(s[last] - s[start], b[start]) for s, b in zip(self.sums, self.back, strict=True)])
+
+    def all(self, width: int) -> np.ndarray:
+        """Of every stretch of `width` symbols."""
+        step = width - self.gram + 1
+        return self._mixed([(s[step:] - s[: len(s) - step], b[: len(s) - step]) for s, b in zip(self.sums, self.back, strict=True)])
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is the same modulo 2^31 - 1."""
+    return (x & _PRIME) + (x >> np.uint64(31))
 
 
-def rolling_bytes(raw: np.ndarray) -> Rolling:
-    """Over grams of 8 bytes."""
+def byte_grams(raw: np.ndarray) -> np.ndarray:
+    """Mixed grams of 8 bytes."""
     x = raw.astype(np.uint64)
     for k in (1, 2, 4):
         x = x[: max(0, len(x) - k)] | (x[k:] << np.uint64(8 * k))
     with np.errstate(over="ignore"):
-        return Rolling(mix64(x ^ _STEPS[0]), 8)
+        return mix64(x ^ _STEPS[0])
 
 
-def rolling_words(hashes: np.ndarray) -> Rolling:
-    """Over grams of 4 words."""
+def word_grams(hashes: np.ndarray) -> np.ndarray:
+    """Mixed grams of 4 words."""
     n = max(0, len(hashes) - 3)
     with np.errstate(over="ignore"):
-        return Rolling(mix64(sum(hashes[k : k + n] * _STEPS[k] for k in range(4))), 4)
+        return mix64(sum(hashes[k : k + n] * _STEPS[k] for k in range(4)))
 
 
 def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

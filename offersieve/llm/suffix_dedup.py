@@ -14,7 +14,7 @@ Defined results: a null or empty text has no symbols and loses none, as does one
 after all others; repeated rows repeat each other's symbols, and, as they can't be told apart, with keep_first each keeps
 what the first one keeps; an empty table gives no rows; overlapping repeats count; other columns play no part, whatever
 their names; very long texts are taken in stretches that overlap by width - 1. Windows are compared symbol by symbol,
-anchors and whole contexts by 128 bits of hashes, words by 64.
+anchors and whole contexts by hashes modulo a prime at four random points, 124 bits; words by 64.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offersieve.llm.common import hold, materialize, release, row_hash, rows_of, salted_join, same_row
-from offersieve.llm.shingles import Rolling, pieces, rolling_bytes, rolling_words, text_bytes, word_hashes, word_places
+from offersieve.llm.shingles import ANCHOR, WHOLE, Rolling, byte_grams, pieces, text_bytes, word_grams, word_hashes, word_places
 
 WIDTH = 400
 PIECE = 2 << 20
@@ -41,8 +41,10 @@ CONTEXT_ROWS = 1 << 16
 INSTANCE = "doc_id long, row long, lo int, size int, g long, c long"
 
 
-def rolling(symbols: np.ndarray) -> Rolling:
-    return rolling_bytes(symbols) if symbols.dtype == np.uint8 else rolling_words(symbols)
+def rolling(symbols: np.ndarray, *points: tuple[int, int]) -> list[Rolling]:
+    """A hash over the symbols for each pair of points."""
+    grams, size = (byte_grams(symbols), 8) if symbols.dtype == np.uint8 else (word_grams(symbols), 4)
+    return [Rolling(grams, size, p) for p in points]
 
 
 def symbols_of(raw: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,9 +78,9 @@ def contexts_of(symbols: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.n
     n, gram = len(symbols), width // 2
     if n < width:
         return none, none, none, none
-    hashes = rolling(symbols)
+    anchors, contexts = rolling(symbols, ANCHOR, WHOLE)
+    grams = anchors.all(gram)
     at = np.arange(n - gram + 1)
-    grams = hashes.of(at, at + gram)
     low = np.uint64((1 << PIECE_BITS) - 1)  # the same for every piece, so that equal windows choose alike
     key = (grams & ~low) | at.astype(np.uint64)
     w = width - gram + 1
@@ -97,7 +99,7 @@ def contexts_of(symbols: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.n
     last = np.concatenate([cut[1:], [windows]]) - 1
     real = chosen[cut] >= 0
     lo, hi = cut[real], last[real] + width
-    return lo, hi, grams[chosen[lo]].view(np.int64), hashes.of(lo, hi).view(np.int64)
+    return lo, hi, grams[chosen[lo]].view(np.int64), contexts.of(lo, hi).view(np.int64)
 
 
 def _instances(docs: DataFrame, text: str, width: int, unit: str) -> DataFrame:
@@ -247,15 +249,15 @@ def _by_digests(contexts: DataFrame, width: int, unit: str, keep_first: bool) ->
                 at = np.arange(len(raw) - width + 1)
                 k = len(at)
                 pick = pa.array(np.full(k, i))
-                digest = rolling(raw).of(at, at + width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(at, pa.int32()), pa.array(digest)], names=["g", "c", "first", "x", "w"])
+                w, v = (r.all(width).view(np.int64) for r in rolling(raw, ANCHOR, WHOLE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(at, pa.int32()), pa.array(w), pa.array(v)], names=["g", "c", "first", "x", "w", "v"])
 
     one = contexts.dropDuplicates(["g", "c"])
-    spelt = materialize(one.select("g", "c", "bytes", "first").mapInArrow(spell, f"g long, c long, first {contexts.schema['first'].dataType.simpleString()}, x int, w long"))
+    spelt = materialize(one.select("g", "c", "bytes", "first").mapInArrow(spell, f"g long, c long, first {contexts.schema['first'].dataType.simpleString()}, x int, w long, v long"))
     order = F.struct("first", "x")
-    shared = spelt.groupBy("g", "w").agg(F.count("*").alias("n"), F.min(order).alias("head")).filter("n > 1")
+    shared = spelt.groupBy("g", "w", "v").agg(F.count("*").alias("n"), F.min(order).alias("head")).filter("n > 1")
     gone = order > F.col("head") if keep_first else F.lit(True)
-    marked = spelt.join(shared, ["g", "w"]).filter(gone).select("g", "c", "x")
+    marked = spelt.join(shared, ["g", "w", "v"]).filter(gone).select("g", "c", "x")
     grouped = marked.groupBy("g", "c").agg(F.collect_set("x").alias("at"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

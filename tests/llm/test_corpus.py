@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from offersieve.llm import chat_format, common, kd_search, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_hosts, suffix_dedup
+from offersieve.llm import chat_format, common, kd_search, language_id, license_scan, line_dedup, mixing, near_dedup, packing, quality_hosts, shingles, suffix_dedup
 
 DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,6 +123,44 @@ def test_texts_apart_that_a_polynomial_joins(spark):
     assert {r.doc_id: r.n_removed for r in suffix_dedup.digest(blocks).collect()} == want
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 4, 8, 12])
+def test_hashes_tell_orders_of_blocks_apart(block):
+    """Two words over two blocks in the order of Thue and Morse, of bytes and of words, at every length."""
+    order = np.array([bin(i).count("1") % 2 for i in range(512)])
+    for grams, alphabet in ((shingles.byte_grams, np.arange(1, 1 + 2 * block, dtype=np.uint8)), (shingles.word_grams, shingles.mix64(np.arange(2 * block, dtype=np.uint64)))):
+        blocks = alphabet.reshape(2, block).copy()
+        blocks[1, 1:] = blocks[0, 1:]  # the blocks differ in their first symbol only
+        tail = blocks[0, -7:]
+        one, two = (np.concatenate([*blocks[x], tail]) for x in (order, 1 - order))
+        for points in (shingles.ANCHOR, shingles.WHOLE):
+            a, b = (shingles.Rolling(grams(t), 8 if t.dtype == np.uint8 else 4, points) for t in (one, two))
+            for n in range(16, len(one), block):
+                same = (np.lib.stride_tricks.sliding_window_view(one, n) == np.lib.stride_tricks.sliding_window_view(two, n)).all(axis=1)
+                assert ((a.all(n) == b.all(n)) == same).all()
+
+
+@pytest.mark.parametrize("unit,width", [("byte", 400), ("word", 51)])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_different_texts_of_blocks_stay(spark, unit, width, keep_first):
+    """The first 200 symbols are common, then come sixteen blocks in the order of Thue and Morse, and 65 common symbols."""
+    order = [bin(i).count("1") % 2 for i in range(16)]
+    rng = np.random.default_rng(3)
+    ends = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, n)) for n in (200, 65)]
+    rows = []
+    for i, turn in enumerate((order, [1 - x for x in order])):
+        middle = "".join("}8"[x] + "n_W[:'K" for x in turn)
+        text = ends[0] + "n_W[:'K" + middle + ends[1]
+        rows.append((i, text if unit == "byte" else " ".join(text[180:][:85])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.cut_texts(docs, unit=unit, width=width, keep_first=keep_first).collect()}
+    size = (lambda t: len(t)) if unit == "byte" else (lambda t: len(t.split()))
+    symbols = [list(t) if unit == "byte" else t.split() for _, t in rows]
+    common = [k for k in range(len(symbols[0]) - width + 1) if symbols[0][k : k + width] == symbols[1][k : k + width]]
+    assert not common and [size(got[i]) for i in (0, 1)] == [len(s) for s in symbols]
+    if unit == "byte" and not keep_first:
+        assert {r.n_removed for r in suffix_dedup.digest(docs).collect()} == {0}
+
+
 @pytest.mark.parametrize("how", [{}, {"hot": 1}, {"unit": "word", "width": 51}, {"unit": "word", "width": 8, "hot": 1}])
 def test_suffix_dedup_keeps_the_first(docs, rows, how):
     """Spans of what comes again, in order of (doc_id, row); repeated rows lose what the first of them loses."""
