@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^31 - 1, by doubling."""
+    """base^0 .. base^(n-1) modulo 2^31 - 1; tables of usual lengths are kept."""
+    return _powers(base, 1 << max(n - 1, 0).bit_length())[:n] if n <= 1 << 18 else _powers.__wrapped__(base, n)
+
+
+@lru_cache(64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """By doubling."""
     out = np.ones(max(n, 1), np.uint64)
     have, top = 1, base
     while have < n:
@@ -37,7 +44,7 @@ def powers(base: int, n: int) -> np.ndarray:
         out[have : have + more] = out[:more] * np.uint64(top) % _PRIME
         have += more
         top = top * top % int(_PRIME)
-    return out[:n]
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

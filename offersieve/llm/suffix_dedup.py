@@ -31,8 +31,9 @@ from offersieve.llm.common import hold, materialize, release, row_hash, rows_of,
 from offersieve.llm.shingles import ANCHOR, WHOLE, Rolling, byte_grams, pieces, text_bytes, word_grams, word_hashes, word_places
 
 WIDTH = 400
-PIECE = 2 << 20
-PIECE_BITS = 22
+#: Bytes of text whose windows are hashed at once, few enough for their arrays to stay in a core's cache.
+PIECE = 1 << 17
+PIECE_BITS = 18
 #: Bytes of contexts in one suffix array; an anchor with more is settled by window digests instead.
 CHUNK, HOT = 1 << 19, 4 << 20
 #: Rows in a file of contexts with their bytes.
