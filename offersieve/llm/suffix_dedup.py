@@ -35,7 +35,7 @@ WIDTH = 400
 PIECE = 1 << 17
 PIECE_BITS = 18
 #: Bytes of contexts in one suffix array; an anchor with more is settled by window digests instead.
-CHUNK, HOT = 1 << 19, 4 << 20
+CHUNK, HOT = 1 << 15, 4 << 20
 #: Rows in a file of contexts with their bytes.
 CONTEXT_ROWS = 1 << 16
 
