@@ -1,7 +1,7 @@
 """All queries of the offer engine, and their SQL."""
 
-from offersieve.plans import control, exchange, messages, offers, presentation, services
+from offersieve.plans import control, exchange, messages, offers, presentation, services, users
 
-PARTS = (offers, services, messages, control, presentation, exchange)
+PARTS = (offers, services, messages, control, presentation, exchange, users)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
