@@ -6,7 +6,8 @@ if it has as many of its tokens as the set. So no plan grows with the number of
 where something of the user stands in the offer. What decides all other pairs are an offer's class and a user's
 settings alone; `decision_counts` takes them from class counts, without making the pairs.
 
-offers: doc_id, title_tokens, tokens, sig, price, fixed, exceptional, replay (a later copy of the same offer).
+texts: doc_id and words (an offer's tokens, apart by spaces). offers: doc_id, n_sig (significant tokens), title_tokens,
+price, fixed, exceptional, replay (a later copy of the same offer).
 users: user_id, exceptional_on, threshold, mode. interests: user_id, interest_id, terms, importance, min_price, max_price,
 excluded. aliases: user_id, marker, variants (token lists). exclusions: user_id, ord, phrase (tokens). rules: user_id,
 priority, rule_id, action, parts (for each group that must match, its phrases as token lists; at least one group).
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offersieve.functions.text import significant
 from offersieve.operators.lineage import written
 from offersieve.operators.relevance import ACCESSORIES
 
@@ -34,9 +36,10 @@ def key_of(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
 
 
-def postings(offers: DataFrame, wanted: DataFrame) -> DataFrame:
+def postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, token, tf of the wanted tokens; tf counts significant tokens, and is 0 for others that stand in the offer."""
-    rows = offers.select("doc_id", F.explode(F.concat(F.transform("sig", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"))), F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"))))).alias("p"))
+    tokens = F.split("words", " ")
+    rows = texts.select("doc_id", F.explode(F.concat(F.transform(significant(tokens), lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"))))).alias("p"))
     return rows.select("doc_id", "p.token", "p.n").join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
 
 
@@ -109,17 +112,20 @@ def matching(found: DataFrame, posted: DataFrame, drawn: DataFrame, prefs: Prefe
     return plain.union(marked).distinct()
 
 
-def phrases_standing(found: DataFrame, offers: DataFrame, prefs: Preferences) -> DataFrame:
-    """doc_id, kind, words of phrases that stand in an offer: in its significant tokens for exclusions, in all for rules."""
-    said = prefs.phrases.select("kind", "key", "words").distinct()
-    near = found.join(said, "key").join(offers.select("doc_id", F.array_join("sig", " ").alias("sig_text"), F.array_join("tokens", " ").alias("token_text")), "doc_id")
-    text = F.when(F.col("kind") == "out", F.col("sig_text")).otherwise(F.col("token_text"))
-    return near.filter(F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), F.col("words"), F.lit(" ")))).select("doc_id", "kind", "words")
+def phrases_standing(found: DataFrame, texts: DataFrame, prefs: Preferences) -> DataFrame:
+    """doc_id, kind, words of phrases that stand in an offer: in its significant tokens for exclusions, in all for rules. A
+    text meets its likely phrases as one list, of at most what all users say in tokens that the offer holds."""
+    said = prefs.phrases.select("kind", "key", F.col("words").alias("phrase")).distinct()
+    near = found.join(said, "key").groupBy("doc_id").agg(F.collect_set(F.struct("kind", F.col("phrase").alias("words"))).alias("near"))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    met = texts.join(near, "doc_id").withColumn("sig_text", spaced(F.array_join(significant(F.split("words", " ")), " "))).withColumn("token_text", spaced(F.col("words")))
+    stands = lambda p: F.when(p["kind"] == "out", F.col("sig_text")).otherwise(F.col("token_text")).contains(spaced(p["words"]))
+    return met.select("doc_id", F.explode(F.filter("near", stands)).alias("p")).select("doc_id", "p.kind", "p.words")
 
 
 def scores(offers: DataFrame, posted: DataFrame, drawn: DataFrame, prefs: Preferences, users: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, user_id, score where any weighted token of the user stands: BM25 over what the corpus is for that user."""
-    corpus = offers.filter("NOT replay").select("doc_id", F.size("sig").alias("len"))
+    corpus = offers.filter("NOT replay").select("doc_id", F.col("n_sig").alias("len"))
     alive = posted.filter("tf > 0").join(corpus.select("doc_id"), "doc_id", "left_semi")
     drawn = drawn.join(corpus.select("doc_id"), "doc_id", "left_semi")
     plain = alive.join(prefs.weights, "token").join(drawn.select(*PAIR, "gone"), PAIR, "left").filter(F.col("gone").isNull() | ~F.array_contains("gone", F.col("token"))).select(*PAIR, "token", "tf", "w")
@@ -170,14 +176,14 @@ def _idle(users: DataFrame, interests: DataFrame) -> DataFrame:
     return users.dropDuplicates(["user_id"]).join(have, "user_id", "left").withColumn("idle", F.col("has").isNull() & ~F.col("exceptional_on")).drop("has")
 
 
-def decisions(offers: DataFrame, users: DataFrame, interests: DataFrame, aliases: DataFrame, exclusions: DataFrame, rules: DataFrame) -> DataFrame:
+def decisions(texts: DataFrame, offers: DataFrame, users: DataFrame, interests: DataFrame, aliases: DataFrame, exclusions: DataFrame, rules: DataFrame) -> DataFrame:
     """doc_id, user_id, stage, reason, score of every pair in which anything of the user stands in the offer."""
     prefs = Preferences(interests, aliases, exclusions, rules)
-    posted = written(postings(offers, prefs.wanted()))
+    posted = written(postings(texts, prefs.wanted()))
     found = written(holding(posted, prefs.sets()))
     drawn = written(drawn_together(found, prefs))
     met = written(matching(found, posted, drawn, prefs))
-    stood = written(phrases_standing(found, offers, prefs).join(prefs.phrases, ["kind", "words"]))
+    stood = written(phrases_standing(found, texts, prefs).join(prefs.phrases, ["kind", "words"]))
     ruled = stood.filter("kind = 'rule'").groupBy(*PAIR, "priority", "rule_id", "action", "need").agg(F.countDistinct("part").alias("n")).filter("n = need")
     ruled = ruled.groupBy(*PAIR).agg(F.min(F.struct("priority", "rule_id", "action")).alias("r")).select(*PAIR, F.concat(F.lit("rule_"), F.col("r.action"), F.lit(":"), F.col("r.rule_id")).alias("rule"))
     outs = stood.filter("kind = 'out'").select(*PAIR, "ord", "words").union(met.filter("kind = 'out'").select(*PAIR, "no", F.array_join("said", " ")))

@@ -20,23 +20,25 @@ PLACES = {"a1": ("w", 5, 2), "a2": ("w", 9, 1), "ax": ("w", 20, 1), "b1": ("v",
 HEAT = "CASE WHEN doc_id % 9 = 4 THEN {source} ELSE source END"
 
 
-def offers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a price of a part, and heat by their id."""
+def offers_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with a price of a part, and heat by their id: texts, read and normalised once, and small rows."""
     prices = _read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("part"), F.col("p_retailprice").cast("double").alias("price"))
     d = _sig(spark, sf_dir).withColumns({"hot": F.when(F.col("doc_id") % 9 == 4, R.HEAT_SOURCE).otherwise(F.col("source")), "heat": (F.col("doc_id") * 37 % 400).cast("int")})
-    d = d.select("doc_id", X.tokens(X.normalize(F.split("text", "\n")[0])).alias("title_tokens"), "tokens", "sig", R.fixed_reason(F.col("norm"), F.col("text")).alias("fixed"), R.exceptional_reason(F.col("hot"), F.col("heat"), F.col("norm")).alias("exceptional"), F.sha2("norm", 256).alias("h"))
-    d = written(d)
-    first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
-    d = d.join(first, "h").withColumn("replay", F.col("doc_id") > F.col("first"))
-    priced = d.join(prices, (F.col("part") == F.col("doc_id")) & (F.col("doc_id") % 3 != 0), "left")
-    return written(priced.select("doc_id", "title_tokens", "tokens", "sig", "price", "fixed", "exceptional", "replay"))
+    d = written(d.select("doc_id", F.array_join("tokens", " ").alias("words"), F.size("sig").alias("n_sig"), X.tokens(X.normalize(F.split("text", "\n")[0])).alias("title_tokens"), R.fixed_reason(F.col("norm"), F.col("text")).alias("fixed"), R.exceptional_reason(F.col("hot"), F.col("heat"), F.col("norm")).alias("exceptional"), F.sha2("norm", 256).alias("h")))
+    small = d.drop("words")
+    small = small.join(small.groupBy("h").agg(F.min("doc_id").alias("first")), "h").withColumn("replay", F.col("doc_id") > F.col("first"))
+    priced = small.join(prices, (F.col("part") == F.col("doc_id")) & (F.col("doc_id") % 3 != 0), "left")
+    return d.select("doc_id", "words"), written(priced.select("doc_id", "n_sig", "title_tokens", "price", "fixed", "exceptional", "replay"))
 
 
-def tables_of(spark: SparkSession, sf_dir: str, offers: DataFrame) -> dict[str, DataFrame]:
+def tables_of(spark: SparkSession, sf_dir: str, texts: DataFrame) -> dict[str, DataFrame]:
     """users, interests, aliases, exclusions and rules."""
     u = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("user_id"))
-    w = offers.filter("doc_id % 3 = 0").select((F.col("doc_id") / 3).cast("long").alias("user_id"), F.col("sig").alias("w"))
-    v = offers.filter("doc_id % 3 = 1").select(((F.col("doc_id") - 1) / 3).cast("long").alias("user_id"), F.col("sig").alias("v"), F.col("tokens").alias("t"))
+    # Only the texts that users take words from are shuffled, and of those the first tokens that reach all places.
+    t = F.split("words", " ")
+    of = texts.select("doc_id", F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(t).alias("t")).select("doc_id", F.slice(X.significant(F.col("t")), 1, 40).alias("v"), F.slice("t", 1, 40).alias("t"))
+    w = of.filter("doc_id % 3 = 0").select((F.col("doc_id") / 3).cast("long").alias("user_id"), F.col("v").alias("w"))
+    v = of.filter("doc_id % 3 = 1").select(((F.col("doc_id") - 1) / 3).cast("long").alias("user_id"), "v", "t")
     s = u.join(w, "user_id", "left").join(v, "user_id", "left")
     s = written(s.select("user_id", *(F.coalesce(F.slice(c, a, n), F.array().cast("array<string>")).alias(k) for k, (c, a, n) in PLACES.items())))
     m = lambda n: F.col("user_id") % n
@@ -110,14 +112,15 @@ def query(sql: str):
 @query(f"{sql_pairs()} SELECT doc_id, user_id, stage, reason, round(score, 6) AS score FROM r WHERE near")
 def user_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every pair of a document and a stored user in which anything of the user stands."""
-    offers = offers_of(spark, sf_dir)
-    made = fanout.decisions(offers, **tables_of(spark, sf_dir, offers))
+    texts, offers = offers_of(spark, sf_dir)
+    made = fanout.decisions(texts, offers, **tables_of(spark, sf_dir, texts))
     return made.select("doc_id", "user_id", "stage", "reason", F.round("score", 6).alias("score"))
 
 
 @query(f"{sql_pairs()} SELECT user_id, stage, reason, count(*) AS n FROM r GROUP BY user_id, stage, reason")
 def user_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every stored user, how many documents end at which stage and why: all pairs."""
-    offers = offers_of(spark, sf_dir)
-    tables = tables_of(spark, sf_dir, offers)
-    return fanout.decision_counts(offers, tables["users"], fanout.decisions(offers, **tables), tables["interests"])
+    texts, offers = offers_of(spark, sf_dir)
+    tables = tables_of(spark, sf_dir, texts)
+    made = written(fanout.decisions(texts, offers, **tables).drop("score"))
+    return fanout.decision_counts(offers, tables["users"], made, tables["interests"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from offersieve.operators import fanout
 from offersieve.plans import users
 
-OFFERS = "doc_id long, title_tokens array<string>, tokens array<string>, sig array<string>, price double, fixed string, exceptional string, replay boolean"
+OFFERS = "doc_id long, words string, n_sig int, title_tokens array<string>, price double, fixed string, exceptional string, replay boolean"
 INTERESTS = "user_id long, interest_id string, terms array<array<string>>, importance long, min_price double, max_price double, excluded array<array<string>>"
 
 
@@ -25,13 +25,13 @@ def _offers(spark, *texts, **more):
     rows = []
     for i, t in enumerate(texts):
         own = more.get(f"o{i}", {})
-        rows.append((i, t.split()[:3], t.split(), [w for w in t.split() if w != "de"], own.get("price"), own.get("fixed"), own.get("exceptional"), own.get("replay", False)))
+        rows.append((i, t, len([w for w in t.split() if w != "de"]), t.split()[:3], own.get("price"), own.get("fixed"), own.get("exceptional"), own.get("replay", False)))
     return spark.createDataFrame(rows, OFFERS)
 
 
 def _made(spark, offers, **tables):
     t = _tables(spark, **tables)
-    made = fanout.decisions(offers, **t)
+    made = fanout.decisions(offers.select("doc_id", "words"), offers, **t)
     rows = {(r.doc_id, r.user_id): (r.stage, r.reason) for r in made.collect()}
     counts = {(r.user_id, r.stage, r.reason): r.n for r in fanout.decision_counts(offers, t["users"], made, t["interests"]).collect()}
     assert sum(counts.values()) == offers.count() * t["users"].count()
@@ -69,9 +69,9 @@ def test_every_step_in_order(spark):
 def test_empty_tables(spark):
     none = _offers(spark, "a b").limit(0)
     t = _tables(spark)
-    assert fanout.decisions(none, **t).count() == 0
+    assert fanout.decisions(none, none, **t).count() == 0
     offers = _offers(spark, "a b")
-    made = fanout.decisions(offers, **t)
+    made = fanout.decisions(offers.select("doc_id", "words"), offers, **t)
     assert made.count() == 0
     assert {(r.user_id, r.stage, r.n) for r in fanout.decision_counts(offers, t["users"], made, t["interests"]).collect()} == {(u, "idle", 1) for u in (1, 2, 3)}
 
