@@ -1,4 +1,4 @@
-"""The cascade for stored users: documents as offers, suppliers as users, and each user's interests, aliases, exclusions and
+"""The cascade for stored users: documents as offers, nations as users, and each user's interests, aliases, exclusions and
 rules as rows whose words come from documents of the same tables. Both forms build the same tables and judge every pair."""
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def offers_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def tables_of(spark: SparkSession, sf_dir: str, texts: DataFrame) -> dict[str, DataFrame]:
     """users, interests, aliases, exclusions and rules."""
-    u = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("user_id"))
+    u = _read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("user_id"))
     # Only the texts that users take words from are shuffled, and of those the first tokens that reach all places.
     t = F.split("words", " ")
     of = texts.select("doc_id", F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(t).alias("t")).select("doc_id", F.slice(X.significant(F.col("t")), 1, 40).alias("v"), F.slice("t", 1, 40).alias("t"))
@@ -78,7 +78,7 @@ def sql_pairs() -> str:
     tokens_of = lambda x: f"regexp_extract_all({sql_norm(x)}, '[a-z0-9]+(?:_[a-z0-9]+)*')"
     return f"""WITH {DOCS}, o0 AS (SELECT *, {_CUT} AS cut FROM d),
     o AS (SELECT doc_id, {tokens_of('string_split(text, chr(10))[1]')} AS title_tokens, tokens, sig, CASE WHEN doc_id % 3 <> 0 THEN p_retailprice::DOUBLE END AS price, {fixed} AS fixed, {heat} AS exceptional, doc_id > min(doc_id) OVER (PARTITION BY norm) AS replay FROM o0 LEFT JOIN part ON p_partkey - 1 = doc_id),
-    s AS (SELECT s_suppkey::BIGINT AS user_id, {', '.join(f'{_cut(c, a, n)} AS {k}' for k, (c, a, n) in PLACES.items())} FROM supplier LEFT JOIN (SELECT doc_id AS wd, sig AS w FROM o) ON wd = s_suppkey * 3 LEFT JOIN (SELECT doc_id AS vd, sig AS v, tokens AS t FROM o) ON vd = s_suppkey * 3 + 1),
+    s AS (SELECT n_nationkey::BIGINT + 1 AS user_id, {', '.join(f'{_cut(c, a, n)} AS {k}' for k, (c, a, n) in PLACES.items())} FROM nation LEFT JOIN (SELECT doc_id AS wd, sig AS w FROM o) ON wd = (n_nationkey + 1) * 3 LEFT JOIN (SELECT doc_id AS vd, sig AS v, tokens AS t FROM o) ON vd = (n_nationkey + 1) * 3 + 1),
     g AS (SELECT *, array_to_string(g1, '_') AS marker, CASE WHEN user_id % 3 <> 1 AND len(g1) > 0 THEN list_filter([g1, g2, g3], lambda y: len(y) > 0) ELSE []::VARCHAR[][] END AS gv, user_id % 10 <> 7 AS has_a, user_id % 10 <> 7 AND user_id % 2 = 1 AS has_b, user_id % 3 = 0 AS on_, (user_id % 5)::DOUBLE AS threshold, CASE WHEN user_id % 4 = 1 THEN 'live' WHEN user_id % 4 = 3 THEN 'off' ELSE 'shadow' END AS mode FROM s),
     u AS (SELECT *, {', '.join(_drawn(c) for c in ('a1', 'a2', 'ax', 'b1', 'e1', 'e0'))} FROM g),
     w AS (SELECT user_id, token, max(w) AS w FROM (SELECT user_id, unnest(list_concat(a1_c, a2_c)) AS token, 0.5::DOUBLE + (20 + user_id % 80)::DOUBLE / 100 AS w FROM u WHERE has_a UNION ALL SELECT user_id, unnest(b1_c), 0.5::DOUBLE + 0.6::DOUBLE FROM u WHERE has_b) GROUP BY user_id, token),
