@@ -19,28 +19,45 @@ def fold_py(text: str) -> str:
 
 
 _FOLDED = {c: fold_py(c) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))}
-#: Characters that fold to one ASCII character, those that fold to nothing (marks), and Latin letters and ligatures that
-#: fold to several letters.
+#: Characters that fold to one ASCII character, and those that fold to nothing (marks).
 MARKED = "".join(c for c, x in _FOLDED.items() if len(x) == 1 and x.isascii()) + "".join(c for c, x in _FOLDED.items() if not x)
 PLAIN = "".join(x for x in _FOLDED.values() if len(x) == 1 and x.isascii())
-LIGATURES = {c: x for c, x in _FOLDED.items() if len(x) > 1 and any(a.isascii() and a.isalpha() for a in x) and (c < "\u0250" or c in "\u1e9e\u2116\u2122" or "\ufb00" <= c <= "\ufb06")}
+#: Lower-case characters that fold to several, of which at least one is kept or read by normalisation: ligatures, Roman
+#: numerals, fractions, units, the ellipsis, letters and numbers in brackets.
+SEVERAL = {c: x for c, x in _FOLDED.items() if len(x) > 1 and re.search(r"[a-z0-9_.,%$:/<>]", x) and c == c.lower()}
+
+
+def _ranges(chars: list[int], gap: int) -> list[tuple[int, int]]:
+    """Code points as ranges; above Latin letters those at most `gap` apart are one, so that the class stays short."""
+    out: list[tuple[int, int]] = []
+    for c in chars:
+        if out and c - out[-1][1] <= (gap if c >= 0x250 else 1):
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
+_AT = _ranges(sorted(map(ord, SEVERAL)), 256)
+_class = lambda ranges: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+_NEAR, _REST = _class(_AT), _class(list(zip([0, *(b + 1 for _, b in _AT)], [*(a - 1 for a, _ in _AT), 0x10FFFF], strict=True)))
 
 # Connector words that carry no meaning of their own.
 CONNECTORS = ["and", "com", "da", "das", "de", "do", "dos", "em", "for", "na", "nas", "no", "nos", "of", "para", "por", "sem", "the", "with"]
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents. Composed, decomposed, full-width and styled letters and the ligatures of Latin type fold
-    to ASCII; of other signs that stand for several letters (Roman numerals, units) see `fold_any`."""
+    """Lower case without accents, as far as normalisation reads it: every character that folds to ASCII does. Texts with a
+    character near those that fold to several are cut there, and each is looked up; others go straight to `translate`."""
     x = F.lower(text)
-    for c, to in LIGATURES.items():
-        if c == c.lower():
-            x = F.replace(x, F.lit(c), F.lit(to))
+    table = F.str_to_map(F.lit("\n".join(f"{c}\t{to}" for c, to in SEVERAL.items())), F.lit("\n"), F.lit("\t"))  # folded to a constant
+    one = lambda part: F.when(F.length(part) == 1, F.coalesce(F.try_element_at(table, part), part)).otherwise(part)
+    x = F.when(x.rlike(_NEAR), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f"{_NEAR}|{_REST}+"), F.lit(0)), one), "")).otherwise(x)
     return F.translate(x, MARKED, PLAIN)
 
 
 def fold_any(text: Column) -> Column:
-    """The same for any Unicode text, in Python."""
+    """The same in Python, and for all other signs too."""
     return F.pandas_udf(lambda values: values.map(fold_py, na_action="ignore"), "string")(text)
 
 
@@ -49,12 +66,10 @@ def normalize(text: Column, fold_with=fold) -> Column:
     x = fold_with(F.coalesce(text, F.lit("")))
     x = F.regexp_replace(x, r"https?://[^\s<>]+", " url ")
     x = F.regexp_replace(x, r"(\d{1,3}(?:[.,]\d+)?)\s*%", " $1 percent ")
-    x = F.regexp_replace(F.regexp_replace(x, r"r\$\s*", " brl "), r"\bus\$|\busd\b", " usd ")
-    # what is not [a-z0-9_.,], and then not [a-z0-9_.]: Java takes ten times longer for the negated classes
-    x = F.regexp_replace(x, r"[\x00-+\-/:-^`{-\x{10FFFF}]+", " ")
-    x = F.regexp_replace(x, r"(?<=\d),(?=\d)", ".")
-    x = F.regexp_replace(x, r"[\x00-\-/:-^`{-\x{10FFFF}]+", " ")
-    return F.trim(F.regexp_replace(x, r" +", " "))
+    x = F.regexp_replace(F.regexp_replace(x, r"r\$\s*", " brl "), r"us(?<=\bus)(?:\$|d\b)", " usd ")
+    x = F.regexp_replace(x, r",(?<=\d,)(?=\d)", ".")
+    # what is not [a-z0-9_.]: Java takes ten times longer for the negated class
+    return F.trim(F.regexp_replace(x, r"[\x00-\-/:-^`{-\x{10FFFF}]+", " "))
 
 
 def tokens(normal: Column) -> Column:

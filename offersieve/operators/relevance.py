@@ -209,26 +209,6 @@ def bm25_of(length: Column, tf: dict[str, Column], weights: dict[str, float], n:
     return F.when((n > 0) & (length > 0), out).otherwise(F.lit(0.0))
 
 
-def rolling_stats(docs: DataFrame, limit: int, seq: str = "seq", tokens: str = "sig", block: int = 4096) -> DataFrame:
-    """seq, n, avgdl of the last `limit` documents up to and with each one. seq is dense from 0. Prefix sums by block keep
-    the global order out of a single task: each block is a window of its own, block sums are a small table."""
-    at = docs.select(F.col(seq).alias("seq"), F.size(tokens).alias("len")).withColumn("part", F.floor(F.col("seq") / block))
-    inner = Window.partitionBy("part").orderBy("seq")
-    sums = at.groupBy("part").agg(F.sum("len").alias("s"))
-    outer = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select("part", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("ahead"))
-    run = at.join(ahead, "part").select("seq", (F.col("ahead") + F.sum("len").over(inner)).alias("total"))
-    past = run.select((F.col("seq") + limit).alias("seq"), F.col("total").alias("gone"))
-    n = F.least(F.col("seq") + 1, F.lit(limit))
-    return run.join(past, "seq", "left").select("seq", n.alias("n"), ((F.col("total") - F.coalesce("gone", F.lit(0))) / n).alias("avgdl"))
-
-
-def rolling_df(docs: DataFrame, limit: int, seq: str = "seq", tokens: str = "sig") -> DataFrame:
-    """seq, term, df of the last `limit` documents as of each document's arrival."""
-    w = Window.partitionBy("term").orderBy("seq").rangeBetween(-(limit - 1), 0)
-    return docs.select(F.col(seq).alias("seq"), F.explode(F.array_distinct(tokens)).alias("term")).withColumn("df", F.count("*").over(w))
-
-
 def term_weights(interests: list[Interest], groups: list, baseline: list[str] = []) -> dict[str, float]:  # noqa: B006
     """Canonical token to its largest weight: 0.5 + importance / 100, or 1 in the baseline."""
     out: dict[str, float] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from offersieve.functions import text as X
+from offersieve.operators import arrivals as A
 from offersieve.operators import relevance as R
 
 ALIASES = {"the thing": ["ation", "on the"], "de la": ["que", "les"]}
@@ -309,23 +310,22 @@ def corpus_df(spark, sf_dir):
 _ROLL = f"{DOCS}, r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, doc_id, len(sig) AS len, sig FROM d)"
 
 
-def _dense(spark, sf_dir):
-    """doc_id ranked from 0, by counts of ranges of ids and ranks within each: no global sort in one task."""
-    s = _sig(spark, sf_dir).withColumn("part", F.floor(F.col("doc_id") / 4096))
-    counts = s.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    return s.join(before, "part").withColumn("seq", F.col("before") + rank - 1)
+def _dense(docs, tokens="sig"):
+    """doc_id, seq from 0 in order of arrival, and tokens: texts are normalised once, and ranks are of ids alone."""
+    s = R.held(docs.select("doc_id", tokens))
+    return s.join(A.dense(s.select("doc_id"), "doc_id"), "doc_id")
 
 
 @query(f"WITH {_ROLL} SELECT seq, count(*) OVER w AS n, round(avg(len) OVER w, 6) AS avgdl FROM r WINDOW w AS (ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def rolling_corpus_stats(spark, sf_dir):
-    return R.rolling_stats(_dense(spark, sf_dir), 100).select("seq", "n", F.round("avgdl", 6).alias("avgdl"))
+    docs = _dense(_sig(spark, sf_dir)).select("seq", F.size("sig").alias("len"))
+    return A.rolling_stats(docs, 100).select("seq", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {_ROLL}, x AS (SELECT seq, unnest(list_distinct(sig)) AS term FROM r) SELECT seq, term, count(*) OVER (PARTITION BY term ORDER BY seq RANGE BETWEEN 99 PRECEDING AND CURRENT ROW) AS df FROM x")
 def rolling_corpus_df(spark, sf_dir):
-    return R.rolling_df(_dense(spark, sf_dir), 100)
+    postings = _dense(_sig(spark, sf_dir)).select("seq", F.explode(F.array_distinct("sig")).alias("term"))
+    return A.rolling_df(postings, 100).select("seq", "term", "df")
 
 
 @query(f"WITH {CANON} SELECT doc_id, list_contains(canon, 'the_thing') AS thing, list_contains(canon, 'de_la') AS la, len(canon)::BIGINT AS n_canonical, {sql_covers('canon', X.canonical_py(X.significant_py('ation of'), GROUPS))} AS matches FROM c")
