@@ -7,7 +7,8 @@ however common a term is: with blocks of 4,096 a term that stands in every one o
 largest window of groups.
 
 Defined results: `seq` is dense from 0 and unique; null and empty token lists are documents of length 0 that count in n; a
-score is 0 where no term of the user stands; equal rows of the terms table count once, of several weights the largest.
+score is 0 where no term of the user stands; equal rows of the terms table count once, of several weights the largest; an empty
+term stands nowhere.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offersieve.operators.relevance import held
+from offersieve.operators.lineage import written
 
 BLOCK = 4096
 
@@ -41,7 +42,7 @@ def dense(rows: DataFrame, by: str) -> DataFrame:
 
 def last_sums(rows: DataFrame, keys: list[str], value: Column, limit: int, carried: list[str] = []) -> DataFrame:  # noqa: B006
     """keys, seq, the carried columns and total: for each row, the sum of `value` over its key's rows among the last
-    `limit` arrivals. `rows` is read twice, so it should be held or written."""
+    `limit` arrivals. `rows` is read twice, so it should be small or written."""
     mine = F.struct(*carried) if carried else F.struct(F.lit(True).alias("here"))
     come = F.struct(F.col("seq").alias("pos"), value.alias("v"), mine.alias("mine"))
     go = F.struct((F.col("seq") + limit).alias("pos"), (-value).alias("v"), F.lit(None).alias("mine"))
@@ -64,17 +65,27 @@ def rolling_df(postings: DataFrame, limit: int, carried: list[str] = []) -> Data
     return last_sums(postings, ["term"], F.lit(1).cast("long"), limit, carried).withColumnRenamed("total", "df")
 
 
-def scores(docs: DataFrame, tokens: str, terms: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def postings(docs: DataFrame, by: str, tokens: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two small tables from one pass over the texts: seq, `by` and len of every document, and seq, term, tf of the terms
+    asked for. The pass keeps those terms and, under the empty term, the length; token lists are neither shuffled
+    nor written unless the terms are too many to broadcast by the session's own threshold."""
+    asked = terms.select("term").filter("term <> ''").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    size = F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0))
+    each = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
+    rows = docs.select(by, F.inline(F.concat(each, F.array(F.struct(F.lit("").alias("term"), size.alias("n"))))))
+    met = written(rows.join(asked, "term", "left_semi").groupBy(by, "term").agg(F.sum("n").alias("n")))
+    lengths = written(dense(met.filter("term = ''").select(by, F.col("n").alias("len")), by))
+    return lengths, written(met.filter("term <> ''").join(lengths, by).select("seq", "term", F.col("n").alias("tf")))
+
+
+def scores(lengths: DataFrame, posted: DataFrame, terms: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """user_id, seq, score of every pair in which a term of the user stands; each document is scored against the last
     `limit` arrivals, itself included, as it was inserted before it is judged.
 
-    docs: seq and the token list, held or written by the caller. terms: user_id, term, weight, of any size; only the terms
-    that some user asks for have postings, and counts of a term serve all its users."""
+    lengths and posted: of `postings`. terms: user_id, term, weight, of any size; only the terms that some user asks for
+    have postings, and counts of a term serve all its users."""
     terms = terms.groupBy("user_id", "term").agg(F.max("weight").alias("weight"))
-    words = docs.select("seq", F.explode(tokens).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posted = held(words.groupBy("seq", "term").agg(F.count("*").alias("tf")))
-    stats = rolling_stats(docs.select("seq", F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0)).alias("len")), limit)
-    at = rolling_df(posted, limit, ["tf"]).join(stats, "seq")
+    at = rolling_df(posted, limit, ["tf"]).join(rolling_stats(lengths, limit), "seq")
     tf, n, df = F.col("tf").cast("double"), F.col("n"), F.col("df")
     part = F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
     return at.select("seq", "term", part.alias("part")).join(terms, "term").groupBy("user_id", "seq").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offersieve.functions import text as X
 from offersieve.operators import arrivals as A
 from offersieve.operators.lineage import written
-from offersieve.plans.offers import _ROLL, CANON, PROFILE, _canon, _dense, _q, _read, _sig
+from offersieve.plans.offers import _ROLL, CANON, PROFILE, _canon, _q, _read, _sig
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -40,10 +41,9 @@ _PROFILE = "u AS (SELECT * FROM (VALUES " + ", ".join(f"(0, {_q(t)}, {w}::DOUBLE
 @query(f"WITH {CANON}, r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, doc_id, len(canon) AS len, canon FROM c), {_PROFILE}, {sql_scores('canon')} SELECT doc_id, n, round(avgdl, 6) AS avgdl, round(coalesce(score, 0), 6) AS score FROM r JOIN st USING (seq) LEFT JOIN k USING (seq)")
 def scores_as_of_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One profile's score of every document, with the size and mean length of the corpus at its arrival."""
-    docs = _dense(_canon(spark, sf_dir), "canon")
     terms = spark.createDataFrame([(0, t, w) for t, w in PROFILE.items()], "user_id long, term string, weight double")
-    found = A.scores(docs, "canon", terms, LIMIT)
-    stats = A.rolling_stats(docs.select("seq", F.size("canon").alias("len")), LIMIT)
+    docs, posted = A.postings(_canon(spark, sf_dir), "doc_id", "canon", terms)
+    found, stats = A.scores(docs, posted, terms, LIMIT), A.rolling_stats(docs, LIMIT)
     return docs.select("doc_id", "seq").join(stats, "seq").join(found, "seq", "left").select("doc_id", "n", F.round("avgdl", 6).alias("avgdl"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
@@ -54,12 +54,13 @@ _TAKEN = " UNION ALL ".join(f"SELECT s_suppkey::BIGINT, unnest(sig[{a}:{a + n -
 def arrivals_best_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as users, each with weighted terms taken from a document. For every document in which a user's term stands:
     how many users it concerns, which one most as of its arrival (ties to the smaller id), and the sum of all scores."""
-    texts = _sig(spark, sf_dir)
-    docs = written(_dense(texts))
-    of = docs.join(_read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("user_id")), F.col("doc_id") == F.col("user_id") * 2)
+    asked = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("doc_id"), F.col("s_suppkey").cast("long").alias("user_id"))
+    # only texts that users take terms from are normalised for them
+    of = _read(spark, sf_dir, "documents").select("doc_id", "text").join(asked, "doc_id").withColumn("sig", X.significant_of(X.normalize(F.col("text"))))
     weighted = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
     taken = F.flatten(F.array(*[F.transform(F.slice("sig", a, n), weighted(0.5 + w / 100)) for a, n, w in TERMS]))
     terms = written(of.select("user_id", F.inline(taken)))
-    found = A.scores(docs, "sig", terms, LIMIT).join(docs.select("seq", "doc_id"), "seq")
+    docs, posted = A.postings(_sig(spark, sf_dir), "doc_id", "sig", terms)
+    found = A.scores(docs, posted, terms, LIMIT).join(docs.select("seq", "doc_id"), "seq")
     best = F.max_by("user_id", F.struct(F.round("score", 6), -F.col("user_id")))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_users"), best.alias("best_user"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("score"), 4).alias("total"))

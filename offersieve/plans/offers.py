@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from offersieve.functions import text as X
 from offersieve.operators import arrivals as A
 from offersieve.operators import relevance as R
+from offersieve.operators.lineage import written
 
 ALIASES = {"the thing": ["ation", "on the"], "de la": ["que", "les"]}
 EXCLUSIONS = ["the of and", "on the", "und der"]
@@ -310,21 +311,16 @@ def corpus_df(spark, sf_dir):
 _ROLL = f"{DOCS}, r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, doc_id, len(sig) AS len, sig FROM d)"
 
 
-def _dense(docs, tokens="sig"):
-    """doc_id, seq from 0 in order of arrival, and tokens: texts are normalised once, and ranks are of ids alone."""
-    s = R.held(docs.select("doc_id", tokens))
-    return s.join(A.dense(s.select("doc_id"), "doc_id"), "doc_id")
-
-
 @query(f"WITH {_ROLL} SELECT seq, count(*) OVER w AS n, round(avg(len) OVER w, 6) AS avgdl FROM r WINDOW w AS (ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def rolling_corpus_stats(spark, sf_dir):
-    docs = _dense(_sig(spark, sf_dir)).select("seq", F.size("sig").alias("len"))
+    docs = A.dense(written(_sig(spark, sf_dir).select("doc_id", F.size("sig").alias("len"))), "doc_id")
     return A.rolling_stats(docs, 100).select("seq", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {_ROLL}, x AS (SELECT seq, unnest(list_distinct(sig)) AS term FROM r) SELECT seq, term, count(*) OVER (PARTITION BY term ORDER BY seq RANGE BETWEEN 99 PRECEDING AND CURRENT ROW) AS df FROM x")
 def rolling_corpus_df(spark, sf_dir):
-    postings = _dense(_sig(spark, sf_dir)).select("seq", F.explode(F.array_distinct("sig")).alias("term"))
+    seqs = A.dense(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    postings = written(_sig(spark, sf_dir).select("doc_id", F.array_distinct("sig").alias("terms")).join(seqs, "doc_id").select("seq", F.explode("terms").alias("term")))
     return A.rolling_df(postings, 100).select("seq", "term", "df")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from offersieve.operators import arrivals as A
 
 LIMITS = [1, 3, 10, 500]
+TERMS = "user_id long, term string, weight double"
 
 
 def _corpus(n=90, seed=5):
@@ -22,6 +23,12 @@ def _docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "seq long, tokens array<string>").repartition(5)
 
 
+def _scores(docs, terms, limit):
+    """Ids are three times the order of arrival; figures come back by order of arrival."""
+    lengths, posted = A.postings(docs.withColumn("doc_id", F.col("seq") * 3).drop("seq"), "doc_id", "tokens", terms)
+    return A.scores(lengths, posted, terms, limit)
+
+
 @pytest.fixture(autouse=True)
 def _small_blocks(monkeypatch):
     monkeypatch.setattr(A, "BLOCK", 4)
@@ -31,7 +38,7 @@ def _small_blocks(monkeypatch):
 def test_scores(spark, limit):
     texts = _corpus()
     asked = [(1, "hot", 1.0), (1, "a", 0.5), (1, "a", 0.7), (1, "a", 0.7), (2, "d", 1.3), (2, "none", 1.0), (3, "none", 2.0)]
-    got = {(r.user_id, r.seq): r.score for r in A.scores(_docs(spark, texts), "tokens", spark.createDataFrame(asked, "user_id long, term string, weight double"), limit).collect()}
+    got = {(r.user_id, r.seq): r.score for r in _scores(_docs(spark, texts), spark.createDataFrame([*asked, (4, "", 1.0)], TERMS), limit).collect()}
     want = {}
     for seq, text in enumerate(texts):
         last = [t or [] for t in texts[max(0, seq - limit + 1) : seq + 1]]
@@ -62,8 +69,8 @@ def test_ranks_of_ids_with_gaps(spark):
 
 
 def test_empty_tables(spark):
-    docs, terms = _docs(spark, []), spark.createDataFrame([], "user_id long, term string, weight double")
-    assert A.scores(docs, "tokens", terms, 5).count() == A.scores(_docs(spark, [["a"]]), "tokens", terms, 5).count() == 0
+    docs, terms = _docs(spark, []), spark.createDataFrame([], TERMS)
+    assert _scores(docs, terms, 5).count() == _scores(_docs(spark, [["a"]]), terms, 5).count() == 0
     assert A.dense(docs, "seq").count() == A.rolling_stats(docs.select("seq", F.lit(1).alias("len")), 5).count() == 0
 
 
