@@ -1,10 +1,8 @@
 """Figures as of each arrival: counts, sums and BM25 scores over the last `limit` documents up to and with each one.
 
-A row that counts at `seq` stops to count at `seq + limit`: it is two events, and a figure as of an arrival is the running sum
-of the events up to it. Running sums go by blocks of arrivals: within a block, over the blocks of a group, and over
-groups. So a window holds at most two events an arrival of one block, or one row a block of one group, or one row a group,
-however common a term is: with blocks of 4,096 a term that stands in every one of 10^10 documents has 600 rows in its
-largest window of groups.
+Running sums go by blocks of arrivals: a row also goes to the next block if it still counts there, so each block is summed alone,
+once up to each row and once up to the row that is `limit` back. So a window holds the arrivals of one block and the
+`limit` before it, however common a term is.
 
 Defined results: `seq` is dense from 0 and unique; null and empty token lists are documents of length 0 that count in n; a
 score is 0 where no term of the user stands; equal rows of the terms table count once, of several weights the largest; an empty
@@ -40,17 +38,20 @@ def dense(rows: DataFrame, by: str) -> DataFrame:
     return at.join(first, "part").withColumn("seq", F.col("ahead") + rank - 1).drop("part", "ahead")
 
 
+def _blocks(limit: int, block: int = BLOCK) -> tuple[Column, Column]:
+    """A row's own block of arrivals, and all in which it counts: its own and, near its end, the next."""
+    own = lambda seq: F.floor(seq / max(block, limit))
+    return own(F.col("seq")), F.sequence(own(F.col("seq")), own(F.col("seq") + max(limit, 1) - 1))
+
+
 def last_sums(rows: DataFrame, keys: list[str], value: Column, limit: int, carried: list[str] = []) -> DataFrame:  # noqa: B006
     """keys, seq, the carried columns and total: for each row, the sum of `value` over its key's rows among the last
-    `limit` arrivals. `rows` is read twice, so it should be small or written."""
-    mine = F.struct(*carried) if carried else F.struct(F.lit(True).alias("here"))
-    come = F.struct(F.col("seq").alias("pos"), value.alias("v"), mine.alias("mine"))
-    go = F.struct((F.col("seq") + limit).alias("pos"), (-value).alias("v"), F.lit(None).alias("mine"))
-    events = rows.select(*keys, F.explode(F.array(come, go)).alias("e")).select(*keys, "e.*").withColumn("part", F.floor(F.col("pos") / BLOCK))
-    sums = events.groupBy(*keys, "part").agg(F.sum("v").alias("s"))
-    here = F.sum("v").over(Window.partitionBy(*keys, "part").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
-    run = events.withColumn("run", here).filter("mine IS NOT NULL").join(_ahead(sums, keys), [*keys, "part"])
-    return run.select(*keys, F.col("pos").alias("seq"), *[F.col(f"mine.{c}").alias(c) for c in carried], (F.col("ahead") + F.col("run")).alias("total"))
+    `limit` arrivals."""
+    own, every = _blocks(limit)
+    at = rows.select(*keys, "seq", value.alias("v"), *carried, F.explode(every).alias("part"))
+    upto = lambda n: F.sum("v").over(Window.partitionBy(*keys, "part").orderBy("seq").rangeBetween(Window.unboundedPreceding, n))
+    total = upto(0) - F.coalesce(upto(-limit), F.lit(0))
+    return at.withColumn("total", total).filter(F.col("part") == own).select(*keys, "seq", *carried, "total")
 
 
 def rolling_stats(docs: DataFrame, limit: int, length: str = "len") -> DataFrame:
@@ -89,3 +90,83 @@ def scores(lengths: DataFrame, posted: DataFrame, terms: DataFrame, limit: int,
     tf, n, df = F.col("tf").cast("double"), F.col("n"), F.col("df")
     part = F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
     return at.select("seq", "term", part.alias("part")).join(terms, "term").groupBy("user_id", "seq").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+#: Arrivals and users that one task of `best_users` holds.
+AT_ONCE, USERS = 8192, 1 << 18
+
+
+def best_users(docs: DataFrame, by: str, tokens: str, terms: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Per document in which a term of any user stands: `by`, n_users, best_user, best_score, total of the users' `scores`, rounded
+    to 6 and 4 digits; ties go to the smaller user.
+
+    Pairs of documents and users grow with the product of both, so none is a row: blocks of arrivals, with the `limit` before
+    each, meet blocks of users, and a task adds up its users' scores document by document. Tokens hold no space."""
+    import numpy as np
+    import pandas as pd
+
+    weighted = written(terms.filter("term <> ''").groupBy("user_id", "term").agg(F.max("weight").alias("weight")))
+    seqs = written(dense(docs.select(by), by))
+    size = F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0))
+    texts = docs.select(by, size.cast("long").alias("len"), F.array_join(F.coalesce(tokens, F.array().cast("array<string>")), " ").alias("words")).join(seqs, by)
+    shards = max(-(-weighted.select("user_id").distinct().count() // USERS), 1)
+    block = max(AT_ONCE, limit)
+    blocks = max(-(-seqs.count() // block), 1)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = texts.withColumn("block", F.explode(_blocks(limit, AT_ONCE)[1])).withColumn("shard", each(shards))
+    right = weighted.withColumn("shard", F.pmod(F.xxhash64("user_id"), F.lit(shards).cast("long"))).withColumn("block", each(blocks))
+
+    def run(key: tuple, d: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
+        if d.empty or u.empty:
+            return pd.DataFrame({c: [] for c in (by, "user_id", "score", "n", "s")})
+        d = d.sort_values("seq", ignore_index=True)
+        seq, said = d.seq.to_numpy(), d.words
+        users, user = np.unique(u.user_id.to_numpy(), return_inverse=True)
+        term, names = pd.factorize(u.term)
+        order = np.argsort(term, kind="stable")
+        user, weight = user[order], u.weight.to_numpy()[order]
+        first = np.searchsorted(term[order], np.arange(len(names) + 1))
+        # entries: a document's place, a term and how often it stands there
+        vocabulary, found = pd.Index(names), []
+        for i in range(0, len(d), 256):
+            split = [w.split(" ") for w in said[i : i + 256]]
+            at = np.repeat(np.arange(i, i + len(split)), [len(w) for w in split])
+            t = vocabulary.get_indexer([w for ws in split for w in ws])
+            found.append(np.unique(t[t >= 0] * len(d) + at[t >= 0], return_counts=True))
+        keys, tf = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+        order = np.argsort(keys)
+        keys, tf = keys[order], tf[order]
+        t, at = np.divmod(keys, len(d))
+        # documents with the term among the last `limit`; places are dense, as arrivals are
+        df = np.arange(len(keys)) - np.searchsorted(keys, t * len(d) + np.maximum(at - limit + 1, 0)) + 1
+        length = d.len.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(length)])
+        n = np.minimum(seq + 1, limit)
+        mean = np.maximum((upto[1:] - upto[np.maximum(np.arange(len(d)) - limit + 1, 0)]) / n, 1.0)
+        part = np.log(1 + (n[at] - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / mean[at]))
+        order = np.argsort(at, kind="stable")
+        t, part = t[order], part[order]
+        ends = np.searchsorted(at[order], np.arange(len(d) + 1))
+        places, best, scored, hits, sums = [], [], [], [], []
+        for i in np.flatnonzero((seq // block == key[0]) & (np.diff(ends) > 0)):
+            mine = slice(ends[i], ends[i + 1])
+            many = first[t[mine] + 1] - first[t[mine]]
+            rows = np.repeat(first[t[mine]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            who = user[rows]
+            score = np.bincount(who, weight[rows] * np.repeat(part[mine], many), len(users))
+            hit = np.bincount(who, minlength=len(users)) > 0
+            # the best before rounding and all that rounding may draw level, of equal scores the smallest user
+            near = np.flatnonzero(hit & (score >= score[hit].max() - 2e-6))
+            scores, least = np.unique(score[near], return_index=True)
+            more = [0] * (len(scores) - 1)
+            places += [i] * len(scores)
+            best += users[near[least]].tolist()
+            scored += scores.tolist()
+            hits += [int(hit.sum()), *more]
+            sums += [float(score.sum()), *more]
+        return pd.DataFrame({by: d[by].to_numpy()[places] if places else [], "user_id": best, "score": scored, "n": hits, "s": sums})
+
+    pairs = ["block", "shard"]
+    found = left.groupBy(*pairs).cogroup(right.groupBy(*pairs)).applyInPandas(run, f"{by} long, user_id long, score double, n long, s double")
+    best = F.max_by("user_id", F.struct(F.round("score", 6), -F.col("user_id")))
+    return found.groupBy(by).agg(F.sum("n").alias("n_users"), best.alias("best_user"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("s"), 4).alias("total"))

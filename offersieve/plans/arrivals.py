@@ -60,7 +60,4 @@ def arrivals_best_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
     taken = F.flatten(F.array(*[F.transform(F.slice("sig", a, n), weighted(0.5 + w / 100)) for a, n, w in TERMS]))
     terms = written(of.select("user_id", F.inline(taken)))
-    docs, posted = A.postings(_sig(spark, sf_dir), "doc_id", "sig", terms)
-    found = A.scores(docs, posted, terms, LIMIT).join(docs.select("seq", "doc_id"), "seq")
-    best = F.max_by("user_id", F.struct(F.round("score", 6), -F.col("user_id")))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_users"), best.alias("best_user"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("score"), 4).alias("total"))
+    return A.best_users(_sig(spark, sf_dir), "doc_id", "sig", terms, LIMIT)
