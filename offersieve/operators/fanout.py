@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offersieve.functions.text import significant
+from offersieve.functions.text import significant_of
 from offersieve.operators.lineage import written
 from offersieve.operators.relevance import ACCESSORIES
 
@@ -39,7 +39,7 @@ def key_of(tokens: Column) -> Column:
 def postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, token, tf of the wanted tokens; tf counts significant tokens, and is 0 for others that stand in the offer."""
     tokens = F.split("words", " ")
-    rows = texts.select("doc_id", F.explode(F.concat(F.transform(significant(tokens), lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"))))).alias("p"))
+    rows = texts.select("doc_id", F.explode(F.concat(F.transform(significant_of(F.col("words")), lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"))))).alias("p"))
     return rows.select("doc_id", "p.token", "p.n").join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
 
 
@@ -118,7 +118,7 @@ def phrases_standing(found: DataFrame, texts: DataFrame, prefs: Preferences) ->
     said = prefs.phrases.select("kind", "key", F.col("words").alias("phrase")).distinct()
     near = found.join(said, "key").groupBy("doc_id").agg(F.collect_set(F.struct("kind", F.col("phrase").alias("words"))).alias("near"))
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    met = texts.join(near, "doc_id").withColumn("sig_text", spaced(F.array_join(significant(F.split("words", " ")), " "))).withColumn("token_text", spaced(F.col("words")))
+    met = texts.join(near, "doc_id").withColumn("sig_text", spaced(F.array_join(significant_of(F.col("words")), " "))).withColumn("token_text", spaced(F.col("words")))
     stands = lambda p: F.when(p["kind"] == "out", F.col("sig_text")).otherwise(F.col("token_text")).contains(spaced(p["words"]))
     return met.select("doc_id", F.explode(F.filter("near", stands)).alias("p")).select("doc_id", "p.kind", "p.words")
 
