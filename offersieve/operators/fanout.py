@@ -37,10 +37,13 @@ def key_of(tokens: Column) -> Column:
 
 
 def postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, token, tf of the wanted tokens; tf counts significant tokens, and is 0 for others that stand in the offer."""
-    tokens = F.split("words", " ")
-    rows = texts.select("doc_id", F.explode(F.concat(F.transform(significant_of(F.col("words")), lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"))))).alias("p"))
-    return rows.select("doc_id", "p.token", "p.n").join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
+    """doc_id, token, tf of the wanted tokens; tf counts significant tokens, and is 0 for others that stand in the offer.
+    The wanted ones are a written table, whose size Spark knows: where it is small, no other token is shuffled."""
+    said = texts.select("doc_id", significant_of(F.col("words")).alias("sig"), F.split("words", " ").alias("tokens"))
+    # tokens that are not significant as they stand come behind those that are
+    rows = said.select("doc_id", F.size("sig").alias("n_sig"), F.posexplode(F.concat("sig", F.array_except("tokens", "sig"))).alias("at", "token"))
+    rows = rows.select("doc_id", "token", (F.col("at") < F.col("n_sig")).cast("int").alias("n"))
+    return rows.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
 
 
 def holding(posted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -118,7 +121,8 @@ def phrases_standing(found: DataFrame, texts: DataFrame, prefs: Preferences) ->
     said = prefs.phrases.select("kind", "key", F.col("words").alias("phrase")).distinct()
     near = found.join(said, "key").groupBy("doc_id").agg(F.collect_set(F.struct("kind", F.col("phrase").alias("words"))).alias("near"))
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    met = texts.join(near, "doc_id").withColumn("sig_text", spaced(F.array_join(significant_of(F.col("words")), " "))).withColumn("token_text", spaced(F.col("words")))
+    asked = F.exists("near", lambda p: p["kind"] == "out")
+    met = texts.join(near, "doc_id").withColumn("sig_text", F.when(asked, spaced(F.array_join(significant_of(F.col("words")), " ")))).withColumn("token_text", spaced(F.col("words")))
     stands = lambda p: F.when(p["kind"] == "out", F.col("sig_text")).otherwise(F.col("token_text")).contains(spaced(p["words"]))
     return met.select("doc_id", F.explode(F.filter("near", stands)).alias("p")).select("doc_id", "p.kind", "p.words")
 
@@ -179,7 +183,7 @@ def _idle(users: DataFrame, interests: DataFrame) -> DataFrame:
 def decisions(texts: DataFrame, offers: DataFrame, users: DataFrame, interests: DataFrame, aliases: DataFrame, exclusions: DataFrame, rules: DataFrame) -> DataFrame:
     """doc_id, user_id, stage, reason, score of every pair in which anything of the user stands in the offer."""
     prefs = Preferences(interests, aliases, exclusions, rules)
-    posted = written(postings(texts, prefs.wanted()))
+    posted = written(postings(texts, written(prefs.wanted())))
     found = written(holding(posted, prefs.sets()))
     drawn = written(drawn_together(found, prefs))
     met = written(matching(found, posted, drawn, prefs))

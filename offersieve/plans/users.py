@@ -34,9 +34,10 @@ def offers_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def tables_of(spark: SparkSession, sf_dir: str, texts: DataFrame) -> dict[str, DataFrame]:
     """users, interests, aliases, exclusions and rules."""
     u = _read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("user_id"))
-    # Only the texts that users take words from are shuffled, and of those the first tokens that reach all places.
+    # Only the texts that users take words from are split, and of those the first tokens that reach all places are kept.
     t = F.split("words", " ")
-    of = texts.select("doc_id", F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(t).alias("t")).select("doc_id", F.slice(X.significant(F.col("t")), 1, 40).alias("v"), F.slice("t", 1, 40).alias("t"))
+    named = u.select(F.explode(F.array(F.col("user_id") * 3, F.col("user_id") * 3 + 1)).alias("doc_id"))
+    of = texts.join(named, "doc_id", "left_semi").select("doc_id", F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(t).alias("t")).select("doc_id", F.slice(X.significant(F.col("t")), 1, 40).alias("v"), F.slice("t", 1, 40).alias("t"))
     w = of.filter("doc_id % 3 = 0").select((F.col("doc_id") / 3).cast("long").alias("user_id"), F.col("v").alias("w"))
     v = of.filter("doc_id % 3 = 1").select(((F.col("doc_id") - 1) / 3).cast("long").alias("user_id"), "v", "t")
     s = u.join(w, "user_id", "left").join(v, "user_id", "left")
