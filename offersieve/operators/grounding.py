@@ -70,7 +70,11 @@ def _offer_fault(offer: Column, source: Column, links: Column) -> Column:
 def extraction_fault(raw: Column, source: Column, links: Column) -> Column:
     """The first fault of an extraction as JSON text, against the text that it was made from and the ids of the links
     that it may choose; null if there is none."""
-    x = F.from_json(raw, EXTRACTION)
+    # the text is made, parsed and asked for its keys once each, however often the checks name them
+    return X._with(raw, lambda r: X._with(F.struct(r.alias("raw"), F.from_json(r, EXTRACTION).alias("x"), source.alias("source")), lambda v: _extraction_fault(v["raw"], v["x"], v["source"], links)))
+
+
+def _extraction_fault(raw: Column, x: Column, source: Column, links: Column) -> Column:
     offers = x["offers"]
     exact = F.array_sort(F.json_object_keys(raw)) == F.array(*(F.lit(k) for k in ("offers", "prompt_injection_detected", "source_language")))
     return F.coalesce(

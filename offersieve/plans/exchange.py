@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offersieve.operators import grounding as G
 from offersieve.operators import ledger as L
-from offersieve.plans.offers import _literals, _q, _read, _values
+from offersieve.plans.offers import _literals, _q, _read, _spread, _values
 from offersieve.plans.presentation import _BARE, _LINE
 from offersieve.sources import items as I
 
@@ -49,7 +49,7 @@ def extraction_faults(spark, sf_dir):
     whole = F.struct(F.lit(False).alias("prompt_injection_detected"), F.when(k == 1, F.lit("xx")).otherwise(F.lit("en")).alias("source_language"), F.when(k == 10, F.slice(F.array(offer), 1, 0)).otherwise(F.array(offer)).alias("offers"))
     raw = F.when(k == 11, F.lit("oops")).otherwise(F.to_json(whole, {"ignoreNullFields": "false"}))
     source = F.concat_ws(" ", name, brand, F.lit("R$ 10,50 OFF_10"))
-    return _read(spark, sf_dir, "part").select("p_partkey", G.extraction_fault(raw, source, F.array(F.lit("link_1"), F.lit("link_2"))).alias("fault"))
+    return _spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey").select("p_partkey", G.extraction_fault(raw, source, F.array(F.lit("link_1"), F.lit("link_2"))).alias("fault"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'not_boolean' WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 'seller' WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'current_price' END AS fault FROM orders")
