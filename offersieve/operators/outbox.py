@@ -42,12 +42,15 @@ def reply_state(replies: DataFrame, attempts: DataFrame, order: list[str]) -> Da
     replies: reply_id, user_id, operation (send or edit), target. attempts: reply_id, outcome (sent, permanent, stale or
     another), error, in the order of `order`. An edit whose message is gone (stale) becomes a send, once and for good, which
     counts as an attempt; stale is permanent for a send. What fails for the fifth time is dropped. At most six attempts
-    of a reply count, as a fifth one that turns an edit into a send is followed by one more; the window keeps no others."""
-    nth = F.row_number().over(Window.partitionBy("reply_id").orderBy(*order))
+    of a reply count, as a fifth one that turns an edit into a send is followed by one more; the window keeps no others, and
+    the first of them takes the rest beside it, so that they need no second sort to be one row."""
+    of = Window.partitionBy("reply_id").orderBy(*order)
+    nth = F.row_number().over(of)
     tried = attempts.select("reply_id", "outcome", F.substring("error", 1, ERROR_CHARS).alias("error"), *[c for c in order if c not in ("reply_id", "outcome", "error")])
     tried = tried.withColumn("no", nth).filter(F.col("no") <= MOST_ATTEMPTS + 1)
-    last = F.sort_array(F.collect_list(F.struct("no", F.coalesce("outcome", F.lit("")).alias("outcome"), "error")))
-    j = replies.select("reply_id", "user_id", "operation", "target").join(tried.groupBy("reply_id").agg(last.alias("tries")), "reply_id", "left")
+    one = F.struct("no", F.coalesce("outcome", F.lit("")).alias("outcome"), "error")
+    tried = tried.withColumn("tries", F.array_compact(F.array(one, *[F.lead(one, i).over(of) for i in range(1, MOST_ATTEMPTS + 1)]))).filter("no = 1").select("reply_id", "tries")
+    j = replies.select("reply_id", "user_id", "operation", "target").join(tried, "reply_id", "left")
     turn = F.when(F.col("operation") == "edit", F.array_min(F.transform(F.filter("tries", lambda t: t["outcome"] == "stale"), lambda t: t["no"])))
     j = j.withColumn("turn", turn)
     failed = lambda t: (t["no"] >= MOST_ATTEMPTS) & (t["outcome"] != "sent")
