@@ -92,81 +92,188 @@ def scores(lengths: DataFrame, posted: DataFrame, terms: DataFrame, limit: int,
     return at.select("seq", "term", part.alias("part")).join(terms, "term").groupBy("user_id", "seq").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
-#: Arrivals and users that one task of `best_users` holds.
-AT_ONCE, USERS = 8192, 1 << 18
+#: Arrivals and users that one task of `best_users` holds; where users have many terms, up to four times the arrivals, and
+#: users up to four terms each on the average.
+AT_ONCE, USERS = 8192, 1 << 20
+#: Users' terms for each arrival of a block from which on blocks are made larger, so that users' terms stay few beside texts.
+PER_ARRIVAL = 32
+
+
+def _concerned(term: np.ndarray, at: np.ndarray, docs: int, term_of: np.ndarray, first_of: np.ndarray, many_of: np.ndarray) -> np.ndarray:
+    """For each of the documents 0 to docs - 1 the number of users with a term in it. term, at: distinct, in order.
+    A user's terms stand in term_of from first_of on.
+
+    A term is a row of bits, one a document, a user the union of rows; users' rows are added up bit by bit, three rows
+    of one weight to a row of it and a row of the double."""
+    import numpy as np
+
+    out, wide, at_once = np.zeros(docs, "int64"), 64, 2048
+    order = np.argsort(-many_of, kind="stable")
+    first_of, many_of = first_of[order], many_of[order]
+    for low in range(0, docs, 64 * wide):
+        inside = (at >= low) & (at < low + 64 * wide)
+        if not inside.any():
+            continue
+        here, bit = term[inside] * wide + (at[inside] - low) // 64, np.uint64(1) << ((at[inside] - low) % 64).astype("uint64")
+        starts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        said = np.zeros((term_of.max() + 1, wide), "uint64")
+        said.reshape(-1)[here[starts]] = np.bitwise_or.reduceat(bit, starts)
+        sums = np.zeros(64 * wide, "int64")
+        for a in range(0, len(first_of), at_once):
+            firsts, many = first_of[a : a + at_once], many_of[a : a + at_once]
+            rows, weight = said.take(term_of[firsts], 0), 1
+            for k in range(1, many[0]):
+                more = int((-many).searchsorted(-k))
+                rows[:more] |= said.take(term_of[firsts[:more] + k], 0)
+            while len(rows):
+                doubles = [rows[:0]]
+                while len(rows) > 2:
+                    n = len(rows) // 3
+                    odd = rows[:n] ^ rows[n : 2 * n]
+                    doubles.append((rows[:n] & rows[n : 2 * n]) | (odd & rows[2 * n : 3 * n]))
+                    rows = np.concatenate([odd ^ rows[2 * n : 3 * n], rows[3 * n :]])
+                sums += weight * np.unpackbits(rows.astype("<u8").view("uint8"), axis=1, bitorder="little").sum(0, dtype="int64")
+                rows, weight = np.concatenate(doubles), 2 * weight
+        out[low : low + 64 * wide] = sums[: docs - low]
+    return out
 
 
 def best_users(docs: DataFrame, by: str, tokens: str, terms: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Per document in which a term of any user stands: `by`, n_users, best_user, best_score, total of the users' `scores`, rounded
     to 6 and 4 digits; ties go to the smaller user.
 
-    Pairs of documents and users grow with the product of both, so none is a row: blocks of arrivals, with the `limit` before
-    each, meet blocks of users, and a task adds up its users' scores document by document. Tokens hold no space."""
+    Pairs of documents and users grow with the product of both, so none is a row and few are scored: blocks of arrivals, with
+    the `limit` before each, meet blocks of users. The total needs only each term's sum of weights. Users are scored by falling
+    bounds of their terms, until no user with none of the terms gone through can reach the best; only to be counted,
+    each user of each term is marked. Tokens hold no space."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     weighted = written(terms.filter("term <> ''").groupBy("user_id", "term").agg(F.max("weight").alias("weight")))
-    seqs = written(dense(docs.select(by), by))
+    n_users, n_rows = weighted.agg(F.count_distinct("user_id"), F.count("*")).first()
+    shards = max(-(-n_users // USERS), -(-n_rows // (4 * USERS)), 1)
+    at_once = min(max(AT_ONCE, n_rows // PER_ARRIVAL), 4 * AT_ONCE)
+    block = max(at_once, limit)
+    seqs = dense(docs.select(by), by)
+    # a block's arrivals lie between two ids, so texts meet small ranges and are shuffled once
+    part = F.floor(F.col(by) / BLOCK)
+    ranges = written(seqs.select(by, "seq", F.explode(_blocks(limit, at_once)[1]).alias("block")).groupBy(part.alias("part"), "block").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.min("seq").alias("first"), F.max("seq").alias("last")))
+    blocks = (ranges.agg(F.max("last")).first()[0] or 0) // block + 1
     size = F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0))
-    texts = docs.select(by, size.cast("long").alias("len"), F.array_join(F.coalesce(tokens, F.array().cast("array<string>")), " ").alias("words")).join(seqs, by)
-    shards = max(-(-weighted.select("user_id").distinct().count() // USERS), 1)
-    block = max(AT_ONCE, limit)
-    blocks = max(-(-seqs.count() // block), 1)
+    texts = docs.select(by, size.cast("long").alias("len"), F.array_join(F.coalesce(tokens, F.array().cast("array<string>")), " ").alias("words"), part.alias("part"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = texts.withColumn("block", F.explode(_blocks(limit, AT_ONCE)[1])).withColumn("shard", each(shards))
-    right = weighted.withColumn("shard", F.pmod(F.xxhash64("user_id"), F.lit(shards).cast("long"))).withColumn("block", each(blocks))
-
-    def run(key: tuple, d: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or u.empty:
-            return pd.DataFrame({c: [] for c in (by, "user_id", "score", "n", "s")})
-        d = d.sort_values("seq", ignore_index=True)
-        seq, said = d.seq.to_numpy(), d.words
-        users, user = np.unique(u.user_id.to_numpy(), return_inverse=True)
-        term, names = pd.factorize(u.term)
-        order = np.argsort(term, kind="stable")
-        user, weight = user[order], u.weight.to_numpy()[order]
-        first = np.searchsorted(term[order], np.arange(len(names) + 1))
+    left = texts.join(ranges, "part").filter(F.col(by).between(F.col("low"), F.col("high"))).select(by, "len", "words", "first", "block", each(shards).alias("shard"))
+    shard = F.pmod(F.xxhash64("user_id"), F.lit(shards).cast("long")).alias("shard")
+    listed = written(weighted.groupBy(shard, "term").agg(F.collect_list(F.struct("user_id", "weight")).alias("of")).select("shard", "term", F.col("of.user_id").alias("users"), F.col("of.weight").alias("weights")))
+    right = listed.withColumn("block", each(blocks))
+    schema = pa.schema([(by, pa.int64()), ("user_id", pa.int64()), ("score", pa.float64()), ("n", pa.int64()), ("s", pa.float64())])
+
+    def run(key: tuple, d: pa.Table, u: pa.Table) -> pa.Table:
+        if not d.num_rows or not u.num_rows:
+            return schema.empty_table()
+        ids = d[by].to_numpy().astype("int64")
+        order = np.argsort(ids)
+        place = np.empty(len(ids), "int64")
+        place[order] = np.arange(len(ids))
+        ids, length, seq = ids[order], d["len"].to_numpy()[order], d["first"].to_numpy().min() + np.arange(len(ids))
+        # users by term, and terms by user
+        names = u["term"].combine_chunks()
+        many = pc.list_value_length(u["users"]).to_numpy()
+        first = np.concatenate([[0], np.cumsum(many)])
+        users, user = np.unique(pc.list_flatten(u["users"]).to_numpy(), return_inverse=True)
+        weight = pc.list_flatten(u["weights"]).to_numpy()
+        most, whole = np.maximum(np.maximum.reduceat(weight, first[:-1]), 0.0), np.add.reduceat(weight, first[:-1])
+        order = np.argsort(user, kind="stable")
+        term_of, weight_of = np.repeat(np.arange(len(names)), many)[order], weight[order]
+        many_of = np.bincount(user)
+        first_of, widest = np.cumsum(many_of) - many_of, int(many_of.max())
         # entries: a document's place, a term and how often it stands there
-        vocabulary, found = pd.Index(names), []
-        for i in range(0, len(d), 256):
-            split = [w.split(" ") for w in said[i : i + 256]]
-            at = np.repeat(np.arange(i, i + len(split)), [len(w) for w in split])
-            t = vocabulary.get_indexer([w for ws in split for w in ws])
-            found.append(np.unique(t[t >= 0] * len(d) + at[t >= 0], return_counts=True))
+        found, i = [], 0
+        for chunk in d["words"].chunks:
+            for k in range(0, len(chunk), 2048):
+                split = pc.split_pattern(chunk.slice(k, 2048), " ")
+                at = np.repeat(place[i : i + len(split)], pc.list_value_length(split).to_numpy())
+                t = pc.fill_null(pc.index_in(pc.list_flatten(split), value_set=names), -1).to_numpy().astype("int64")
+                found.append(np.unique(t[t >= 0] * len(ids) + at[t >= 0], return_counts=True))
+                i += len(split)
         keys, tf = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
         order = np.argsort(keys)
         keys, tf = keys[order], tf[order]
-        t, at = np.divmod(keys, len(d))
+        t, at = np.divmod(keys, len(ids))
         # documents with the term among the last `limit`; places are dense, as arrivals are
-        df = np.arange(len(keys)) - np.searchsorted(keys, t * len(d) + np.maximum(at - limit + 1, 0)) + 1
-        length = d.len.to_numpy()
+        df = np.arange(len(keys)) - np.searchsorted(keys, t * len(ids) + np.maximum(at - limit + 1, 0)) + 1
         upto = np.concatenate([[0], np.cumsum(length)])
         n = np.minimum(seq + 1, limit)
-        mean = np.maximum((upto[1:] - upto[np.maximum(np.arange(len(d)) - limit + 1, 0)]) / n, 1.0)
+        mean = np.maximum((upto[1:] - upto[np.maximum(np.arange(len(ids)) - limit + 1, 0)]) / n, 1.0)
         part = np.log(1 + (n[at] - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / mean[at]))
-        order = np.argsort(at, kind="stable")
-        t, part = t[order], part[order]
-        ends = np.searchsorted(at[order], np.arange(len(d) + 1))
-        places, best, scored, hits, sums = [], [], [], [], []
-        for i in np.flatnonzero((seq // block == key[0]) & (np.diff(ends) > 0)):
-            mine = slice(ends[i], ends[i + 1])
-            many = first[t[mine] + 1] - first[t[mine]]
-            rows = np.repeat(first[t[mine]] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            who = user[rows]
-            score = np.bincount(who, weight[rows] * np.repeat(part[mine], many), len(users))
-            hit = np.bincount(who, minlength=len(users)) > 0
+        mine = np.flatnonzero(seq // block == key[0].as_py())
+        low, high = (mine[0], mine[-1] + 1) if len(mine) else (0, 0)
+        inside = (at >= low) & (at < high)
+        concerned = _concerned(t[inside], at[inside] - low, high - low, term_of, first_of, many_of)
+        # a document's terms by falling bound, and what a user with none of the terms before can reach at most
+        bound = part * most[t]
+        falling = at * (bound.max(initial=0.0) + 1.0) - bound
+        order = np.argsort(falling)
+        t, at, part, bound = t[order], at[order], part[order], bound[order]
+        ends = np.searchsorted(at, np.arange(len(ids) + 1))
+        upto, rows = np.concatenate([[0.0], np.cumsum(bound)]), np.cumsum(many[t])
+        reach = upto[np.minimum(np.arange(len(t)) + widest, ends[at + 1])] - upto[:-1]
+        # near the best: all that rounding may draw level, and what sums and order here may be off by
+        slack = 4e-6 + 4 * widest * (np.spacing(np.abs(falling).max(initial=0.0)) + np.spacing(upto[-1]))
+        total = np.bincount(at, part * whole[t], len(ids))
+        parts = np.zeros(len(names) + 1)
+        slices = list(zip(first[:-1].tolist(), first[1:].tolist()))
+        of, terms_ = [user[a:z] for a, z in slices], t.tolist()
+        if widest <= 4:
+            # all terms of a term's users lie beside them
+            cell = np.repeat(np.arange(len(users)) * widest - first_of, many_of) + np.arange(len(user))
+            term_at, weight_at = np.full(len(users) * widest, len(names)), np.zeros(len(users) * widest)
+            term_at[cell], weight_at[cell] = term_of, weight_of
+            term_at, weight_at = term_at.reshape(-1, widest)[user], weight_at.reshape(-1, widest)[user]
+            beside = [(term_at[a:z], weight_at[a:z]) for a, z in slices]
+
+        def scored(among: list, who: np.ndarray) -> np.ndarray:
+            if widest <= 4:
+                said, weighed = zip(*[beside[k] for k in among])
+                return np.einsum("ij,ij->i", np.concatenate(weighed), parts.take(np.concatenate(said)))
+            starts = np.cumsum(many_of[who]) - many_of[who]
+            at_rows = np.repeat(first_of[who] - starts, many_of[who]) + np.arange(many_of[who].sum())
+            return np.add.reduceat(weight_of[at_rows] * parts[term_of[at_rows]], starts)
+
+        places, best, scores, hits, sums = [], [], [], [], []
+        for i in mine[np.diff(ends)[mine] > 0].tolist():
+            done, end, top, step, near = int(ends[i]), int(ends[i + 1]), -np.inf, 1024, []
+            before = rows[done] - many[t[done]]
+            said = t[done:end]
+            parts[said] = part[done:end]
+            while done < end and reach[done] >= top - slack:
+                more = max(done + int(rows[done:end].searchsorted(before + step, "right")), done + 1)
+                if near:
+                    more = min(more, done + max(int((-reach[done:end]).searchsorted(slack - top, "right")), 1))
+                among = terms_[done:more]
+                who = np.concatenate([of[k] for k in among])
+                score = scored(among, who)
+                top = max(top, score.max())
+                close = score >= top - 2e-6
+                near.append((who[close], score[close]))
+                done, step = more, 4 * max(step, int(rows[more - 1] - before))
+            parts[said] = 0.0
             # the best before rounding and all that rounding may draw level, of equal scores the smallest user
-            near = np.flatnonzero(hit & (score >= score[hit].max() - 2e-6))
-            scores, least = np.unique(score[near], return_index=True)
-            more = [0] * (len(scores) - 1)
-            places += [i] * len(scores)
-            best += users[near[least]].tolist()
-            scored += scores.tolist()
-            hits += [int(hit.sum()), *more]
-            sums += [float(score.sum()), *more]
-        return pd.DataFrame({by: d[by].to_numpy()[places] if places else [], "user_id": best, "score": scored, "n": hits, "s": sums})
+            level = {}
+            for who, score in near:
+                for w, x in zip(who.tolist(), score.tolist()):
+                    if x >= top - 2e-6:
+                        level[x] = min(level.get(x, w), w)
+            more = [0] * (len(level) - 1)
+            places += [i] * len(level)
+            best += level.values()
+            scores += level
+            hits += [int(concerned[i - low]), *more]
+            sums += [float(total[i]), *more]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((ids[places] if places else [], users[best] if best else [], scores, hits, sums), schema)], schema=schema)
 
     pairs = ["block", "shard"]
-    found = left.groupBy(*pairs).cogroup(right.groupBy(*pairs)).applyInPandas(run, f"{by} long, user_id long, score double, n long, s double")
+    found = left.groupBy(*pairs).cogroup(right.groupBy(*pairs)).applyInArrow(run, f"{by} long, user_id long, score double, n long, s double")
     best = F.max_by("user_id", F.struct(F.round("score", 6), -F.col("user_id")))
     return found.groupBy(by).agg(F.sum("n").alias("n_users"), best.alias("best_user"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.sum("s"), 4).alias("total"))
